@@ -81,6 +81,8 @@ class Words:
     doc: np.ndarray
     #: index of the first word of each row, with the total at the end
     first: np.ndarray
+    #: byte at which each row starts, with the end of the last
+    row_start: np.ndarray
 
     def text(self, i: int, j: int) -> bytes:
         """Words i to j-1 of one row, joined by one space."""
@@ -92,7 +94,7 @@ def of_bytes(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, lower:
     rows, n = len(offsets) - 1, len(data)
     empty = np.zeros(0, np.int64)
     if n == 0:
-        return Words(lo, lo + rows, data, empty.astype(np.uint64), empty, empty, empty, np.zeros(rows + 1, np.int64))
+        return Words(lo, lo + rows, data, empty.astype(np.uint64), empty, empty, empty, np.zeros(rows + 1, np.int64), offsets)
     data = (_LOWER if lower else _SAME)[data]
     kind = classes[data]
     cut = np.empty(n + 1, bool)
@@ -110,7 +112,7 @@ def of_bytes(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, lower:
     hashes = mix((total[end] - total[start]) * down[start])
     first = np.searchsorted(start, offsets)
     doc = np.repeat(np.arange(rows), np.diff(first))
-    return Words(lo, lo + rows, data, hashes, start, end, doc, first)
+    return Words(lo, lo + rows, data, hashes, start, end, doc, first, offsets)
 
 
 def of_column(column: pa.Array, classes: np.ndarray, lower: bool = True, target: int = CHUNK) -> Iterator[Words]:
