@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontamination, near_dedup, packing, token_output
+from . import decontamination, fingerprints, near_dedup, packing, token_output
 
-MODULES = [token_output, decontamination, packing, near_dedup]
+MODULES = [token_output, decontamination, fingerprints, packing, near_dedup]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: q for m in MODULES for k, q in getattr(m, "ORACLES", {}).items()}
