@@ -9,7 +9,8 @@ comes near the threshold is confirmed on the full sets.
 With 32 bands of 6 registers a pair at J = 0.85 shares no band with probability 3e-7, and the estimate has a standard
 deviation of 0.026, six of which are allowed below the threshold.
 
-Groups of copies: equal sets are one node, by aggregation. In a band each node is first compared with the smallest one
+Groups of copies: equal sets are one node, by aggregation. Runs that one document alone has bound its similarity to any
+other, which rules most pairs of a group of edited copies out before they become rows. In a band each node is first compared with the smallest one
 only; what that leaves in other components is then compared with the members of other components, never within one.
 
 Nulls and edges: a text without words has an empty set and is linked with nothing; fewer than five words are one run; a
@@ -23,12 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
 from .common import materialise, table
 from .graph import components
+from .sieve import sieve_of, sift
 
 BANDS, ROWS = 32, 6
 M = BANDS * ROWS
@@ -119,25 +121,32 @@ def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, shingles) of the documents ``ids`` (a few of all: a bitmap keeps the other texts out of the shuffle)."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             sets = [s.view(np.int64) for s in shingle_sets(batch.column(1), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    chosen = docs.select("doc_id", "text").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    some = sift(docs.select("doc_id", "text"), "doc_id", sieve_of(ids, ids.count()))
+    chosen = some.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
     return chosen.dropDuplicates(["doc_id"]).mapInArrow(run, "id long, shingles array<long>")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, share: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """The pairs with 100 * intersection >= share * union, on full sets."""
-    pairs = materialise(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialise(_sets(docs, ids, k), "sets")
     end = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}"))
     common = F.size(F.array_intersect("set_a", "set_b"))
+    pairs = materialise(pairs, "pairs")
     return pairs.join(end("b"), "b").join(end("a"), "a").where(100 * common >= share * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
 
 
+def _can_link(x: str, y: str, share: int) -> Column:
+    """False where the shingles that one document alone has rule a link out, whatever the others are."""
+    shared_x, shared_y = F.col(f"n_{x}") - F.col(f"u_{x}"), F.col(f"n_{y}") - F.col(f"u_{y}")
+    return 100 * F.least(shared_x, shared_y) >= share * (F.greatest(shared_x, shared_y) + F.col(f"u_{x}") + F.col(f"u_{y}"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, share: int = 85) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest id that links reach)."""
     if not 0 < share <= 100:
@@ -149,30 +158,60 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: int = 85) -> DataFrame:
     classes = materialise(classes, "classes")
     nodes = full.withColumnRenamed("doc_id", "rep").join(classes, ["set_a", "set_b", "rep"]).dropDuplicates(["rep"])
     nodes = materialise(nodes.select("rep", "n_shingles", "registers", "bands"), "nodes")
+
     banded = nodes.select("rep", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1").select("band", "first")
-    members = materialise(banded.join(shared, "band"), "members")
-    stars = materialise(members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    links = materialise(_confirmed(_likely(stars, nodes, least), docs, k, share), "links")
+    shared = materialise(shared, "shared")
+    members = sift(banded, "band", sieve_of(shared.select("band"), shared.count())).join(shared, "band")
+    members = materialise(members, "members")
+    ids = materialise(members.select(F.col("rep").alias("id")).distinct(), "ids")
+    sets = materialise(_sets(docs, ids, k), "sets")
+    alone = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    alone = alone.groupBy("id").agg(F.count("*").alias("u"))
+    sizes = sets.select("id", F.size("shingles").cast("long").alias("n")).join(alone, "id", "left").select(F.col("id").alias("rep"), "n", F.coalesce("u", F.lit(0)).alias("u"))
+    sizes = materialise(sizes, "sizes")
+    of = lambda c: sizes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("u").alias(f"u_{c}"))
+
+    stars = members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = materialise(stars.join(of("a"), "a").join(of("b"), "b").where(_can_link("a", "b", share)).select("a", "b"), "stars")
+    links = materialise(_confirmed(_likely(stars, nodes, least), sets, share), "links")
     found = components(links)
     own = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "first", F.coalesce("component", "rep").alias("own"))
     heads = found.select(F.col("node").alias("first"), F.col("component").alias("head"))
-    own = materialise(own.join(heads, "first", "left").withColumn("head", F.coalesce("head", "first")), "own")
+    own = own.join(heads, "first", "left").withColumn("head", F.coalesce("head", "first")).join(sizes, "rep")
+    # a document of which too much is its own links with nothing
+    own = materialise(own.where(F.expr(f"100 * (n - u) >= {share} * n")), "own")
     # members outside the component of their band's first node, against the members of other components
-    outside = own.where("own <> head").select("band", F.col("rep").alias("x"), F.col("own").alias("x_own"))
-    others = own.select("band", F.col("rep").alias("y"), F.col("own").alias("y_own"), F.col("head").alias("y_head"), "first")
-    cross = outside.join(others, "band").where("x_own <> y_own and y <> first and (y_own = y_head or x < y)")
+    outside = own.where("own <> head").select("band", F.col("rep").alias("x"), F.col("own").alias("x_own"), F.col("n").alias("n_x"), F.col("u").alias("u_x"))
+    others = own.select("band", F.col("rep").alias("y"), F.col("own").alias("y_own"), F.col("head").alias("y_head"), "first", F.col("n").alias("n_y"), F.col("u").alias("u_y"))
+    apart = F.expr("x_own <> y_own and y <> first and (y_own = y_head or x < y)") & _can_link("x", "y", share)
+    cross = outside.withColumnRenamed("band", "x_band").join(others, (F.col("x_band") == F.col("band")) & apart)
     cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = materialise(_confirmed(_likely(cross, nodes, least), docs, k, share), "links")
+    more = materialise(_confirmed(_likely(cross, nodes, least), sets, share), "links")
     if not more.isEmpty():
         found = components(links.union(more))
     of_class = materialise(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("c")), "of_class")
-    # a row that repeats an id with another text follows the smallest component of its id
     out = full.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b"]).select("doc_id", "n_shingles", F.col("c").alias("component_id"))
     rest = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(rest)
 
 
+def keep_one(docs: DataFrame, k: int = 5, share: int = 85) -> DataFrame:
+    """The rows of ``docs``, columns unchanged, with one document of each group: the one of the smallest id.
+
+    Of rows that repeat an id the one with the smallest text stays. Rows with a null id stay. Only documents that are in a
+    group, or repeat an id, are shuffled.
+    """
+    found = near_duplicates(docs, k, share).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows"))
+    touched = materialise(found.where("rows > 1 or component_id <> doc_id").select(F.col("doc_id").alias("touched_id"), F.col("component_id").alias("touched_by")), "touched")
+    sieve = sieve_of(touched.select("touched_id"), touched.count())
+    some = sift(docs, "doc_id", sieve)
+    some = some.join(touched, F.col("doc_id") == F.col("touched_id"), "left").where("touched_id is null or touched_by = doc_id")
+    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
+    some = some.withColumn("touched_by", F.row_number().over(first)).where("touched_by = 1").select(*(some[c] for c in docs.columns))
+    return sift(docs, "doc_id", sieve, inside=False).unionByName(some)
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near copies in whole ``documents``, a row for each document."""
     got = near_duplicates(table(spark, sf_dir, "documents"))
