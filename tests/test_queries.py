@@ -3,8 +3,23 @@
 import pytest
 from oracle import connection, problem
 
+from cohortlake.plans import queries
 from cohortlake.plans.oracle import ORACLES
 from cohortlake.plans.queries import QUERIES
+from cohortlake.plans.warehouse import Warehouse
+
+
+@pytest.fixture(scope="module", autouse=True)
+def shared(spark, sf_dir):
+    """One warehouse for all queries, its tables kept, so that each query is quick."""
+    w, build = queries.warehouse(spark, sf_dir), queries.warehouse
+    w.raw = {k: df.persist() for k, df in w.raw.items()}
+    for name in Warehouse.TABLES:
+        setattr(w, name, getattr(w, name).persist())
+    queries.warehouse = lambda *_: w
+    yield w
+    queries.warehouse = build
+    spark.catalog.clearCache()
 
 
 @pytest.fixture(scope="module")
