@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -13,6 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
@@ -38,8 +44,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each Spark application: they don't share the driver's code."""
+    """Give the executors this package, once for each Spark application: they don't share the driver's code.
+
+    Also bounds the rows that go to a Python worker at once, as texts are long.
+    """
     context = spark.sparkContext
+    if int(spark.conf.get(_ROWS)) > BATCH_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
     if getattr(context, "_cohortlake_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
@@ -51,6 +62,21 @@ def ship(spark: SparkSession) -> None:
     context._cohortlake_shipped = True
 
 
+def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that gives freed memory back to the system at its end.
+
+    Python workers outlive their tasks, and several of them share an executor's memory.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not in every C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import materialise, table
+from .common import materialise, table, tidy
 
 #: names of the columns that ``mark`` adds
 WORDS, HITS, BITS, ITEMS = "decon_words", "decon_hits", "decon_bits", "decon_items"
@@ -46,7 +46,7 @@ def item_windows(items: DataFrame, n: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.int64()))], names=["hash", "size", "words", "item_id"])
 
-    return items.select("item_id", "text").where("item_id is not null").mapInArrow(run, "hash long, size int, words binary, item_id long").distinct()
+    return items.select("item_id", "text").where("item_id is not null").mapInArrow(tidy(run), "hash long, size int, words binary, item_id long").distinct()
 
 
 class Block:
@@ -122,7 +122,7 @@ def _scan(docs: DataFrame, block, names: list[str], first: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*own, *new], schema=pa.schema([*list(batch.schema)[: len(names)], *_ADDED_ARROW]))
 
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields[: len(names)])
-    return docs.mapInArrow(run, f"{fields}, {_ADDED}")
+    return docs.mapInArrow(tidy(run), f"{fields}, {_ADDED}")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, drop_above: float = 0.5, max_windows: int = 1_000_000) -> DataFrame:
@@ -152,7 +152,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, drop_above: fl
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     marked = mark(docs, items, n, max_windows).where(F.col(HITS) <= drop_above * F.col(WORDS))
-    return marked.mapInArrow(run, docs.schema)
+    return marked.mapInArrow(tidy(run), docs.schema)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

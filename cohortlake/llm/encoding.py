@@ -28,7 +28,7 @@ class Encoder:
 
     The tokenizer splits a text before it merges bytes, and always splits before a space that follows a visible
     character. So the ids of a text are those of the pieces between such places, and pieces repeat: each is encoded
-    once while it stays in the cache. The cache bounds memory only; it is emptied when full.
+    once while it stays in the cache. The cache bounds memory only; when full, its longer half goes.
     Strings of special tokens within a text are ordinary text.
     """
 
@@ -50,6 +50,11 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
+    @staticmethod
+    def forget() -> None:
+        """Give the memory of this worker's encoders back."""
+        _encoders.clear()
+
     @property
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size()
@@ -79,6 +84,11 @@ class Encoder:
         rest = [x for x in parts if x not in self.cache]
         self.cache.update(zip(rest, self._ids([f" {x}" for x in rest])))
 
+    def _shrink(self, needed: set[str]) -> None:
+        """Keep the shorter half, which are the more frequent, and what is needed now."""
+        kept = sorted(self.cache, key=len)[: self.cache_size // 2]
+        self.cache = {x: self.cache[x] for x in kept} | {x: self.cache[x] for x in needed if x in self.cache}
+
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; a null text has none."""
         heads: list[str] = []
@@ -94,8 +104,8 @@ class Encoder:
             split.append(parts[1:])
         new = list(set(chain.from_iterable(split)).difference(self.cache))
         if len(self.cache) + len(new) > self.cache_size:
-            self.cache.clear()
-            new = list(set(chain.from_iterable(split)))
+            self._shrink(set(chain.from_iterable(split)))
+            new = list(set(chain.from_iterable(split)).difference(self.cache))
         self._learn(new)
         known = self.cache.__getitem__
         return [h + b"".join(map(known, rest)) for h, rest in zip(self._ids(heads), split)]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices, table
+from .common import slices, table, tidy
 from .encoding import Encoder, default_tokenizer
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -61,8 +61,11 @@ class Bins:
         self.open = {}
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0) -> DataFrame:
-    """A row for each piece of each document of ``docs`` (doc_id, text); ``capacity`` is a power of two."""
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, keep_encoder: bool = True) -> DataFrame:
+    """A row for each piece of each document of ``docs`` (doc_id, text); ``capacity`` is a power of two.
+
+    ``keep_encoder``: workers keep what they have encoded for their next task; without it a task ends with less memory.
+    """
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
     end = end_id.to_bytes(4, "little")
@@ -90,8 +93,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0)
         bins.finish()
         if bins.rows:
             yield out()
+        if not keep_encoder:
+            Encoder.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import crc_remainder, hash_sample, materialise, table
+from .common import crc_remainder, hash_sample, materialise, table, tidy
 
 BUCKETS, SIZE, NONZERO, REACH, BLOCK = 1 << 14, 32, 4, 2, 256
 FEATURES = 2 * SIZE + 3
@@ -45,7 +45,7 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS * SIZE)
         for batch in rows:
-            for w in W.of_column(batch.column(0), W.WITH_MARKS, target=1 << 21):
+            for w in W.of_column(batch.column(0), W.WITH_MARKS, target=1 << 19):
                 b = _bucket(w)
                 for gap in range(1, REACH + 1):
                     near = w.doc[gap:] == w.doc[:-gap]
@@ -64,7 +64,7 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
                 total[k] = total.get(k, 0) + np.frombuffer(raw.as_buffer(), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["block", "sums"])
 
-    sums = docs.select("text").mapInArrow(count, "block int, sums binary").repartition("block").mapInArrow(add, "block int, sums binary")
+    sums = docs.select("text").mapInArrow(tidy(count), "block int, sums binary").repartition("block").mapInArrow(tidy(add), "block int, sums binary")
     out = np.zeros((BUCKETS // BLOCK, BLOCK * SIZE))
     for r in sums.collect():  # at most BUCKETS / BLOCK rows
         out[r.block] = np.frombuffer(r["sums"], np.int64)
@@ -111,7 +111,7 @@ def features(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(got, pa.binary())], names=[*keep, "features"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(run, f"{schema}, features binary")
+    return docs.mapInArrow(tidy(run), f"{schema}, features binary")
 
 
 @dataclass
@@ -200,7 +200,7 @@ def apply(rows: DataFrame, net: Network, column: str = "score") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(net.probability(x.astype(np.float64)), pa.float64())], names=[*keep, column])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "features")
-    return rows.mapInArrow(run, f"{schema}, {column} double")
+    return rows.mapInArrow(tidy(run), f"{schema}, {column} double")
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, at_least: float = 0.3, max_train: int = MAX_TRAIN) -> DataFrame:
@@ -217,7 +217,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, trainable: Column | None =
             if x:
                 yield batch.filter(pa.array(net.probability(np.concatenate(x).astype(np.float64)) >= at_least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import tidy
 from .words import mix
 
 LARGEST = 1 << 26
@@ -40,7 +41,7 @@ def sieve_of(ids: DataFrame, count: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["part", "bits"])
 
     out = np.zeros((bits // 8 // PART, PART), np.uint8)
-    for r in ids.mapInArrow(own, "part int, bits binary").repartition("part").mapInArrow(both, "part int, bits binary").collect():  # at most 256 rows
+    for r in ids.mapInArrow(tidy(own), "part int, bits binary").repartition("part").mapInArrow(tidy(both), "part int, bits binary").collect():  # at most 256 rows
         out[r.part] = np.frombuffer(r.bits, np.uint8)
     return out.ravel()
 
@@ -56,4 +57,4 @@ def sift(df: DataFrame, column: str, sieve: np.ndarray, inside: bool = True) ->
             maybe = (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool) & np.array(batch[column].is_valid())
             yield batch.filter(pa.array(maybe == inside))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)

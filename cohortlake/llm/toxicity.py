@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import crc_remainder, table
+from .common import crc_remainder, table, tidy
 from .quality import chosen_labels
 
 BITS, SHARDS, MAX_TRAIN, EPOCHS = 22, 8, 24_000, 4
@@ -93,10 +93,10 @@ def train(docs: DataFrame, labels: DataFrame, trainable: Column, label: str = "t
     chosen = chosen_labels(labels, label, max_train, trainable)
     count = max(1, min(SHARDS, chosen.count() // SHARD_ROWS))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    shards = rows.mapInArrow(featurise, "doc_id long, y int, places binary").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int"))
+    shards = rows.mapInArrow(tidy(featurise), "doc_id long, y int, places binary").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int"))
     dealt = shards.repartitionById(count, F.col("shard")).sortWithinPartitions("doc_id", "places").select("y", "places")
     total, weights, bias = 0, np.zeros(1 << BITS), 0.0
-    for r in dealt.mapInArrow(learn, "n long, places binary, weights binary, bias double").collect():  # at most SHARDS rows
+    for r in dealt.mapInArrow(tidy(learn), "n long, places binary, weights binary, bias double").collect():  # at most SHARDS rows
         weights[np.frombuffer(r.places, "<i8")] += r.n * np.frombuffer(r.weights)
         bias += r.n * r.bias
         total += r.n
@@ -122,7 +122,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             logits = np.concatenate(sums) + model["bias"] if sums else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(1 / (1 + np.exp(-np.clip(logits, -35, 35))), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
