@@ -10,8 +10,9 @@ With 32 bands of 6 registers a pair at J = 0.85 shares no band with probability
 deviation of 0.026, six of which are allowed below the threshold.
 
 Groups of copies: equal sets are one node, by aggregation. Runs that one document alone has bound its similarity to any
-other, which rules most pairs of a group of edited copies out before they become rows. In a band each node is first compared with the smallest one
-only; what that leaves in other components is then compared with the members of other components, never within one.
+other, which rules most pairs of a group of edited copies out before they become rows. In a band each node is first
+compared with one only, that with the fewest runs of its own; what that leaves in other components is then compared with
+members of other components, never within one.
 
 Nulls and edges: a text without words has an empty set and is linked with nothing; fewer than five words are one run; a
 row with a null id is its own component (null) and kept; rows that repeat an id are one node and a row each; extra
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import materialise, table
+from .common import materialise, table, tidy
 from .graph import components
 from .sieve import sieve_of, sift
 
@@ -88,7 +89,7 @@ def sketch(docs: DataFrame, k: int = 5) -> DataFrame:
                 names=["doc_id", "n_shingles", "set_a", "set_b", "registers", "bands"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, registers binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, set_a long, set_b long, registers binary, bands array<long>")
 
 
 def similarity(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray) -> np.ndarray:
@@ -117,7 +118,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
             yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array(got >= least))
 
     end = lambda c: nodes.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("registers").alias(f"regs_{c}"))
-    return pairs.join(end("a"), "a").join(end("b"), "b").mapInArrow(run, "a long, b long, n_a long, n_b long")
+    return pairs.join(end("a"), "a").join(end("b"), "b").mapInArrow(tidy(run), "a long, b long, n_a long, n_b long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -130,7 +131,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
     some = sift(docs.select("doc_id", "text"), "doc_id", sieve_of(ids, ids.count()))
     chosen = some.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    return chosen.dropDuplicates(["doc_id"]).mapInArrow(run, "id long, shingles array<long>")
+    return chosen.dropDuplicates(["doc_id"]).mapInArrow(tidy(run), "id long, shingles array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -160,36 +161,51 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: int = 85) -> DataFrame:
     nodes = materialise(nodes.select("rep", "n_shingles", "registers", "bands"), "nodes")
 
     banded = nodes.select("rep", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1").select("band", "first")
-    shared = materialise(shared, "shared")
-    members = sift(banded, "band", sieve_of(shared.select("band"), shared.count())).join(shared, "band")
-    members = materialise(members, "members")
-    ids = materialise(members.select(F.col("rep").alias("id")).distinct(), "ids")
+    shared = materialise(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "shared")
+    found_in = materialise(sift(banded, "band", sieve_of(shared, shared.count())).join(shared, "band"), "found_in")
+    ids = materialise(found_in.select(F.col("rep").alias("id")).distinct(), "ids")
     sets = materialise(_sets(docs, ids, k), "sets")
     alone = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
     alone = alone.groupBy("id").agg(F.count("*").alias("u"))
     sizes = sets.select("id", F.size("shingles").cast("long").alias("n")).join(alone, "id", "left").select(F.col("id").alias("rep"), "n", F.coalesce("u", F.lit(0)).alias("u"))
     sizes = materialise(sizes, "sizes")
+    # the first of a band is the document with the least of its own: the original of a group of edited copies
+    central = found_in.join(sizes, "rep").groupBy("band").agg(F.min_by("rep", F.struct("u", "rep")).alias("first"))
+    members = materialise(found_in.join(central, "band"), "members")
     of = lambda c: sizes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("u").alias(f"u_{c}"))
 
     stars = members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     stars = materialise(stars.join(of("a"), "a").join(of("b"), "b").where(_can_link("a", "b", share)).select("a", "b"), "stars")
     links = materialise(_confirmed(_likely(stars, nodes, least), sets, share), "links")
     found = components(links)
-    own = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "first", F.coalesce("component", "rep").alias("own"))
-    heads = found.select(F.col("node").alias("first"), F.col("component").alias("head"))
-    own = own.join(heads, "first", "left").withColumn("head", F.coalesce("head", "first")).join(sizes, "rep")
-    # a document of which too much is its own links with nothing
-    own = materialise(own.where(F.expr(f"100 * (n - u) >= {share} * n")), "own")
-    # members outside the component of their band's first node, against the members of other components
-    outside = own.where("own <> head").select("band", F.col("rep").alias("x"), F.col("own").alias("x_own"), F.col("n").alias("n_x"), F.col("u").alias("u_x"))
-    others = own.select("band", F.col("rep").alias("y"), F.col("own").alias("y_own"), F.col("head").alias("y_head"), "first", F.col("n").alias("n_y"), F.col("u").alias("u_y"))
-    apart = F.expr("x_own <> y_own and y <> first and (y_own = y_head or x < y)") & _can_link("x", "y", share)
-    cross = outside.withColumnRenamed("band", "x_band").join(others, (F.col("x_band") == F.col("band")) & apart)
-    cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = materialise(_confirmed(_likely(cross, nodes, least), sets, share), "links")
-    if not more.isEmpty():
-        found = components(links.union(more))
+
+    def apart(found: DataFrame) -> DataFrame:
+        """(x, y, y_own): members outside the component of their band's first node, with members of other components."""
+        own = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "first", F.coalesce("component", "rep").alias("own"))
+        heads = found.select(F.col("node").alias("first"), F.col("component").alias("head"))
+        own = own.join(heads, "first", "left").withColumn("head", F.coalesce("head", "first")).join(sizes, "rep")
+        # a document of which too much is its own links with nothing
+        own = materialise(own.where(F.expr(f"100 * (n - u) >= {share} * n")), "own")
+        outside = own.where("own <> head").select(F.col("band").alias("x_band"), F.col("rep").alias("x"), F.col("own").alias("x_own"), F.col("n").alias("n_x"), F.col("u").alias("u_x"))
+        others = own.select("band", F.col("rep").alias("y"), F.col("own").alias("y_own"), F.col("head").alias("y_head"), "first", F.col("n").alias("n_y"), F.col("u").alias("u_y"))
+        differ = F.expr("x_own <> y_own and y <> first and (y_own = y_head or x < y)")
+        return outside.join(others, (F.col("x_band") == F.col("band")) & differ & _can_link("x", "y", share)).select("x", "y", "y_own", "u_y")
+
+    # first one member of each other component for each document, which joins most of what belongs together; then the rest
+    tested = stars
+    for last in (False, True):
+        pairs = apart(found)
+        if not last:
+            pairs = pairs.groupBy("x", "y_own").agg(F.min_by("y", F.struct("u_y", "y")).alias("y"))
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "cross")
+        if pairs.isEmpty():
+            continue
+        tested = tested.union(pairs)
+        more = materialise(_confirmed(_likely(pairs, nodes, least), sets, share), "links")
+        if not more.isEmpty():
+            links = links.union(more)
+            found = components(links)
     of_class = materialise(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("c")), "of_class")
     out = full.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b"]).select("doc_id", "n_shingles", F.col("c").alias("component_id"))
     rest = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
