@@ -41,7 +41,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences of 1024."""
-    return packing.pack(docs, default_tokenizer())
+    return packing.pack(docs, default_tokenizer(), keep_encoder=False)
 
 
 STAGES = [
