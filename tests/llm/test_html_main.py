@@ -54,3 +54,9 @@ def test_odd_rows(spark, empty):
     got = sorted(map(tuple, H.extract(pages).collect()), key=str)
     assert [(r[0], r[1], len(r[2]), r[3]) for r in got] == [(1, None, 0, 0), (1, None, 0, 0), (2, "u", 0, 0), (None, "u", 999_999, 999_999)]
     assert H.extract(pages.limit(0)).count() == 0
+
+
+def test_raw_elements_are_whole_names():
+    words = "The quick brown fox jumps over the lazy dog while the others look on in silence."
+    for tag in ("<svg-icon name=a></svg-icon>", "<title-bar></title-bar>", "<svg/>", "<svg width=1 />", "<svg><path d=x /></svg>"):
+        assert H.main_text(f"<article><p>{words}</p>{tag}<p>{words}</p></article>") == f"{words} {words}"
