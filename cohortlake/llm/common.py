@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 import zipfile
@@ -22,15 +23,26 @@ BATCH_ROWS = 2_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests on one machine) a temporary folder takes its place for the session.
+    Where the setting is absent, tests on one machine get a temporary folder for the session; on a cluster it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='cohortlake-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def unused(columns: Iterable[str], name: str) -> str:
+    """``name``, with a number if one of ``columns`` (in any case) has it already."""
+    taken, out, i = {c.lower() for c in columns}, name, 0
+    while out.lower() in taken:
+        i += 1
+        out = f"{name}_{i}"
+    return out
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used yet."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -9,10 +9,11 @@ comes near the threshold is confirmed on the full sets.
 With 32 bands of 6 registers a pair at J = 0.85 shares no band with probability 3e-7, and the estimate has a standard
 deviation of 0.026, six of which are allowed below the threshold.
 
-Groups of copies: equal sets are one node, by aggregation. Runs that one document alone has bound its similarity to any
-other, which rules most pairs of a group of edited copies out before they become rows. In a band each node is first
-compared with one only, that with the fewest runs of its own; what that leaves in other components is then compared with
-members of other components, never within one.
+Groups of copies: documents whose sets have equal keys are one node once the sets themselves are found equal. In a band
+each node is first compared with one only, that with the fewest runs of its own; joins by that document are split by
+Spark where it has very many partners. What is left in other components meets by how it differs from this document, the
+pivot of the group: two documents link only if they share enough of these differences, so an index over the rarest of
+them (a prefix filter) finds the pairs, and what all copies have in common makes none.
 
 Nulls and edges: a text without words has an empty set and is linked with nothing; fewer than five words are one run; a
 row with a null id is its own component (null) and kept; rows that repeat an id are one node and a row each; extra
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import materialise, table, tidy
+from .common import materialise, table, tidy, unused
 from .graph import components
 from .sieve import sieve_of, sift
 
@@ -122,16 +123,20 @@ def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, shingles) of the documents ``ids`` (a few of all: a bitmap keeps the other texts out of the shuffle)."""
+    """(id, shingles) of the documents ``ids`` (id, key), a few of all: a bitmap keeps the other texts out of the shuffle.
+
+    ``key`` is the first key of the set: of rows that repeat an id it tells which one is meant.
+    """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            sets = [s.view(np.int64) for s in shingle_sets(batch.column(1), k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+            sets = list(shingle_sets(batch.column(1), k))
+            meant = np.array([int(s.sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64) == np.array(batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "shingles"]).filter(pa.array(meant))
 
-    some = sift(docs.select("doc_id", "text"), "doc_id", sieve_of(ids, ids.count()))
-    chosen = some.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    return chosen.dropDuplicates(["doc_id"]).mapInArrow(tidy(run), "id long, shingles array<long>")
+    some = sift(docs.select("doc_id", "text"), "doc_id", sieve_of(ids.select("id"), ids.count()))
+    chosen = some.join(ids.withColumnRenamed("id", "doc_id"), "doc_id")
+    return chosen.mapInArrow(tidy(run), "id long, shingles array<long>").dropDuplicates(["id"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -148,6 +153,51 @@ def _can_link(x: str, y: str, share: int) -> Column:
     return 100 * F.least(shared_x, shared_y) >= share * (F.greatest(shared_x, shared_y) + F.col(f"u_{x}") + F.col(f"u_{y}"))
 
 
+def _classes(docs: DataFrame, full: DataFrame, k: int) -> DataFrame:
+    """(doc_id, rep): the smallest document with the same set, confirmed on the sets where keys agree."""
+    reps = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
+    shared = materialise(full.join(reps.where("rep < last").drop("last"), ["set_a", "set_b"]).select("doc_id", "rep", F.col("set_a").alias("key")).distinct(), "shared")
+    ids = shared.groupBy(F.col("doc_id").alias("id")).agg(F.min("key").alias("key"))
+    same = _confirmed(shared.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")), _sets(docs, ids, k), 100)
+    return materialise(same.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("rep")), "classes")
+
+
+def _met_by_differences(groups: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Pairs (x, y) of one group that may link, from how their sets differ from their group's pivot.
+
+    ``groups``: (pivot, rep, own, head, u), own and head the components of the document and of its pivot. With d runs of
+    the pivot f missing and a others added, a link needs
+
+        (100 + share) * (common differences)  >=  v_x + v_y - (100 - share) * n_f,    v = 100 d + share * a,
+
+    as what both keep of the pivot is common anyway. A document outside the pivot's component has v > (100 - share) * n_f,
+    so the right side is over zero: its pairs share a difference, and by the prefix rule (with the differences of a group
+    in one order, rarest first) one among the first (all - needed + 1) of both. Differences that one document alone has
+    are counted and not emitted.
+    """
+    per = 100 + share
+    end = lambda c, s: sets.select(F.col("id").alias(c), F.col("shingles").alias(s))
+    rows = groups.where("rep <> pivot").join(end("rep", "x"), "rep").join(end("pivot", "f"), "pivot")
+    rows = rows.withColumn("more", F.array_except("x", "f")).withColumn("less", F.array_except("f", "x"))
+    rows = rows.withColumn("v", 100 * F.size("less") + share * F.size("more")).withColumn("spare", (100 - share) * F.size("f"))
+    # at least so many common differences in any pair, with an outside document or as one
+    needed = F.when(F.col("own") != F.col("head"), F.ceil((F.col("v") - F.col("spare")) / 100)).otherwise(F.ceil((F.col("v") + 1) / per))
+    rows = rows.withColumn("all", F.size("less") + F.size("more")).withColumn("needed", F.greatest(needed, F.lit(1)))
+    rows = materialise(rows.where("all - u >= needed").select("pivot", "rep", "own", "head", "v", "spare", "all", "needed", F.concat("more", "less").alias("diff")), "diff")
+    each = rows.select("pivot", "rep", F.explode("diff").alias("s"))
+    several = each.groupBy("pivot", "s").agg(F.count("*").alias("n")).where("n > 1")
+    ordered = each.join(several, ["pivot", "s"]).groupBy("pivot", "rep").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("diff"))
+    ordered = rows.drop("diff").join(ordered, ["pivot", "rep"]).withColumn("shared", F.size("diff").cast("long")).where("shared >= needed")
+    first = ordered.select("pivot", "rep", "own", "head", "v", "spare", "all", "shared", F.posexplode(F.slice("diff", F.lit(1), (F.col("shared") - F.col("needed") + 1).cast("int"))).alias("i", "d"))
+    first = first.select("pivot", F.col("d.s").alias("s"), "rep", "own", "head", "v", "spare", "all", "shared", (F.col("all") - F.col("shared") + F.col("i") + 1).alias("place"))
+    first = materialise(first, "first")
+    named = lambda c: first.select("pivot", "s", *(F.col(n).alias(a) for n, a in (("rep", c), ("own", f"{c}_own"), ("v", f"v_{c}"), ("all", f"all_{c}"), ("shared", f"shared_{c}"), ("place", f"place_{c}"))), *([] if c == "y" else ["head", "spare"]))
+    need = f"ceil((v_x + v_y - spare) / {per})"
+    meet = F.expr(f"x_own <> y_own and (y_own = head or x < y) and {need} <= least(shared_x, shared_y) and place_x <= all_x - {need} + 1 and place_y <= all_y - {need} + 1")
+    pairs = named("x").where("x_own <> head").join(named("y"), ["pivot", "s"]).where(meet)
+    return pairs.select("x", "y", "v_y").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, share: int = 85) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest id that links reach)."""
     if not 0 < share <= 100:
@@ -155,15 +205,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: int = 85) -> DataFrame:
     least = share / 100 - 6 * (share / 100 * (1 - share / 100) / M) ** 0.5
     rows = materialise(sketch(docs, k), "sketch")
     full = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    classes = materialise(classes, "classes")
-    nodes = full.withColumnRenamed("doc_id", "rep").join(classes, ["set_a", "set_b", "rep"]).dropDuplicates(["rep"])
-    nodes = materialise(nodes.select("rep", "n_shingles", "registers", "bands"), "nodes")
+    classes = _classes(docs, full, k)
+    nodes = full.withColumnRenamed("doc_id", "rep").join(classes.select(F.col("doc_id").alias("rep")), "rep", "left_anti")
+    nodes = nodes.groupBy("rep").agg(F.min_by(F.struct("n_shingles", "registers", "bands", "set_a"), F.struct("set_a", "set_b")).alias("row"))
+    nodes = materialise(nodes.select("rep", "row.*"), "nodes")
 
     banded = nodes.select("rep", F.explode("bands").alias("band"))
     shared = materialise(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "shared")
     found_in = materialise(sift(banded, "band", sieve_of(shared, shared.count())).join(shared, "band"), "found_in")
-    ids = materialise(found_in.select(F.col("rep").alias("id")).distinct(), "ids")
+    ids = materialise(nodes.select(F.col("rep").alias("id"), F.col("set_a").alias("key")).join(found_in.select(F.col("rep").alias("id")).distinct(), "id"), "ids")
     sets = materialise(_sets(docs, ids, k), "sets")
     alone = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
     alone = alone.groupBy("id").agg(F.count("*").alias("u"))
@@ -171,43 +221,42 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: int = 85) -> DataFrame:
     sizes = materialise(sizes, "sizes")
     # the first of a band is the document with the least of its own: the original of a group of edited copies
     central = found_in.join(sizes, "rep").groupBy("band").agg(F.min_by("rep", F.struct("u", "rep")).alias("first"))
-    members = materialise(found_in.join(central, "band"), "members")
+    members = materialise(found_in.join(central, "band").select("first", "rep").distinct(), "members")
     of = lambda c: sizes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("u").alias(f"u_{c}"))
 
-    stars = members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
     stars = materialise(stars.join(of("a"), "a").join(of("b"), "b").where(_can_link("a", "b", share)).select("a", "b"), "stars")
     links = materialise(_confirmed(_likely(stars, nodes, least), sets, share), "links")
     found = components(links)
 
-    def apart(found: DataFrame) -> DataFrame:
-        """(x, y, y_own): members outside the component of their band's first node, with members of other components."""
-        own = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "first", F.coalesce("component", "rep").alias("own"))
-        heads = found.select(F.col("node").alias("first"), F.col("component").alias("head"))
-        own = own.join(heads, "first", "left").withColumn("head", F.coalesce("head", "first")).join(sizes, "rep")
-        # a document of which too much is its own links with nothing
-        own = materialise(own.where(F.expr(f"100 * (n - u) >= {share} * n")), "own")
-        outside = own.where("own <> head").select(F.col("band").alias("x_band"), F.col("rep").alias("x"), F.col("own").alias("x_own"), F.col("n").alias("n_x"), F.col("u").alias("u_x"))
-        others = own.select("band", F.col("rep").alias("y"), F.col("own").alias("y_own"), F.col("head").alias("y_head"), "first", F.col("n").alias("n_y"), F.col("u").alias("u_y"))
-        differ = F.expr("x_own <> y_own and y <> first and (y_own = y_head or x < y)")
-        return outside.join(others, (F.col("x_band") == F.col("band")) & differ & _can_link("x", "y", share)).select("x", "y", "y_own", "u_y")
+    # bands whose firsts are in one component are one group; its pivot is the most central of these firsts
+    label = lambda c, name: found.select(F.col("node").alias(c), F.col("component").alias(name))
+    own = members.join(label("rep", "own"), "rep", "left").join(label("first", "head"), "first", "left").withColumn("own", F.coalesce("own", "rep")).withColumn("head", F.coalesce("head", "first"))
+    pivots = own.select("head", F.col("first").alias("rep")).distinct().join(sizes, "rep").groupBy("head").agg(F.min_by("rep", F.struct("u", "rep")).alias("pivot"))
+    # a document of which too much is its own links with nothing
+    groups = own.select("head", "rep", "own").distinct().join(sizes, "rep").where(f"100 * (n - u) >= {share} * n")
+    groups = materialise(groups.join(pivots, "head").where("rep <> pivot").select("pivot", "head", "rep", "own", "u"), "groups")
+    several = groups.groupBy("pivot").agg(F.count("*").alias("n"), F.max(F.expr("own <> head")).alias("outside")).where("outside and n > 1").select("pivot")
+    pairs = materialise(_met_by_differences(groups.join(several, "pivot"), sets, share), "cross")
 
     # first one member of each other component for each document, which joins most of what belongs together; then the rest
     tested = stars
     for last in (False, True):
-        pairs = apart(found)
+        some = pairs.join(label("x", "c"), "x", "left").join(label("y", "d"), "y", "left").select("x", "y", "v_y", F.coalesce("c", "x").alias("c"), F.coalesce("d", "y").alias("d")).where("c <> d")
         if not last:
-            pairs = pairs.groupBy("x", "y_own").agg(F.min_by("y", F.struct("u_y", "y")).alias("y"))
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "cross")
-        if pairs.isEmpty():
+            some = some.groupBy("x", "d").agg(F.min_by("y", F.struct("v_y", "y")).alias("y"))
+        some = some.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        some = materialise(some, "some")
+        if some.isEmpty():
             continue
-        tested = tested.union(pairs)
-        more = materialise(_confirmed(_likely(pairs, nodes, least), sets, share), "links")
+        tested = tested.union(some)
+        more = materialise(_confirmed(_likely(some, nodes, least), sets, share), "links")
         if not more.isEmpty():
             links = links.union(more)
             found = components(links)
-    of_class = materialise(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("c")), "of_class")
-    out = full.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b"]).select("doc_id", "n_shingles", F.col("c").alias("component_id"))
+    of_node = nodes.select("rep").join(label("rep", "component_id"), "rep", "left").select("rep", F.coalesce("component_id", "rep").alias("component_id"))
+    out = full.select("doc_id", "n_shingles").join(classes, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    out = out.join(of_node, "rep").select("doc_id", "n_shingles", "component_id")
     rest = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(rest)
 
@@ -218,13 +267,14 @@ def keep_one(docs: DataFrame, k: int = 5, share: int = 85) -> DataFrame:
     Of rows that repeat an id the one with the smallest text stays. Rows with a null id stay. Only documents that are in a
     group, or repeat an id, are shuffled.
     """
+    node, by = unused(docs.columns, "touched_id"), unused(docs.columns, "touched_by")
     found = near_duplicates(docs, k, share).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows"))
-    touched = materialise(found.where("rows > 1 or component_id <> doc_id").select(F.col("doc_id").alias("touched_id"), F.col("component_id").alias("touched_by")), "touched")
-    sieve = sieve_of(touched.select("touched_id"), touched.count())
+    touched = materialise(found.where("rows > 1 or component_id <> doc_id").select(F.col("doc_id").alias(node), F.col("component_id").alias(by)), "touched")
+    sieve = sieve_of(touched.select(node), touched.count())
     some = sift(docs, "doc_id", sieve)
-    some = some.join(touched, F.col("doc_id") == F.col("touched_id"), "left").where("touched_id is null or touched_by = doc_id")
+    some = some.join(touched, F.col("doc_id") == F.col(node), "left").where(F.col(node).isNull() | (F.col(by) == F.col("doc_id")))
     first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    some = some.withColumn("touched_by", F.row_number().over(first)).where("touched_by = 1").select(*(some[c] for c in docs.columns))
+    some = some.withColumn(by, F.row_number().over(first)).where(F.col(by) == 1).select(*docs.columns)
     return sift(docs, "doc_id", sieve, inside=False).unionByName(some)
 
 

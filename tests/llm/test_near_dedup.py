@@ -1,3 +1,5 @@
+import random
+
 import pyarrow.parquet as pq
 
 from cohortlake.llm import near_dedup as N
@@ -52,6 +54,42 @@ def test_chain_of_copies_links_beyond_the_first(spark):
     assert got == {i: c for i, (_, c) in brute(rows).items()} == {i: 100 for i, _ in rows}
 
 
+def edited_copies(n, seed):
+    """Copies of one text, from hardly to heavily edited, some cut, some sharing edits, without the text itself."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(160)]
+    shared = {i: rng.choice("abc") for i in rng.sample(range(160), 12)}
+    out = []
+    for d in range(n):
+        w = list(base)
+        for i in rng.sample(range(160), rng.choice([0, 1, 2, 3, 4, 5, 8])):
+            w[i] = rng.choice(["the", "of", "and", f"own{d}x{i}"])
+        if d % 3 == 0:
+            for i in rng.sample(sorted(shared), 4):
+                w[i] = shared[i]
+        if d % 5 == 0:
+            w = w[rng.randrange(30) : 160 - rng.randrange(30)]
+        out.append((d, " ".join(w)))
+    return out
+
+
+def test_edited_copies_equal_brute_force(spark):
+    """Of a large group the differences from its pivot find the links that the pivot has not, without all pairs."""
+    ship(spark)
+    rows = edited_copies(400, 3)
+    want = {i: c for i, (_, c) in brute(rows).items()}
+    assert 5 < len(set(want.values())) < 400
+    assert {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_names_that_the_stage_adds(spark):
+    ship(spark)
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, text, 1, "a"), (2, text, 2, "b"), (3, "else", 3, "c")], "doc_id long, text string, touched_by int, Touched_Id string")
+    got = sorted(N.keep_one(docs).collect())
+    assert got == [(1, text, 1, "a"), (3, "else", 3, "c")] and got[0].asDict().keys() == {"doc_id", "text", "touched_by", "Touched_Id"}
+
+
 def test_odd_rows(spark, odd, empty):
     ship(spark)
     got = sorted({(r.doc_id, r.n_shingles, r.component_id) for r in N.near_duplicates(odd).collect()}, key=str)
