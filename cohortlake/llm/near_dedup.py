@@ -156,7 +156,8 @@ def _can_link(x: str, y: str, share: int) -> Column:
 def _classes(docs: DataFrame, full: DataFrame, k: int) -> DataFrame:
     """(doc_id, rep): the smallest document with the same set, confirmed on the sets where keys agree."""
     reps = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
-    shared = materialise(full.join(reps.where("rep < last").drop("last"), ["set_a", "set_b"]).select("doc_id", "rep", F.col("set_a").alias("key")).distinct(), "shared")
+    reps = materialise(reps.where("rep < last").drop("last"), "reps")
+    shared = materialise(full.join(reps, ["set_a", "set_b"]).select("doc_id", "rep", F.col("set_a").alias("key")), "shared")
     ids = shared.groupBy(F.col("doc_id").alias("id")).agg(F.min("key").alias("key"))
     same = _confirmed(shared.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")), _sets(docs, ids, k), 100)
     return materialise(same.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("rep")), "classes")
