@@ -14,6 +14,8 @@ _encoders: dict[str, Encoder] = {}
 _BREAK = re.compile(r"(?<!\s) ")
 _ANY = re.compile(r"\s")
 _WIDE = re.compile(r"\s ")
+#: pieces that go through the tokenizer together
+AT_ONCE = 200
 
 
 def default_tokenizer() -> str:
@@ -71,8 +73,8 @@ class Encoder:
         space after a line end, and only a line end has that id.
         """
         plain = [x for x in parts if x and _ANY.search(x) is None] if self.line_end is not None else []
-        for lo in range(0, len(plain), 1000):
-            some = plain[lo : lo + 1000]
+        for lo in range(0, len(plain), AT_ONCE):
+            some = plain[lo : lo + AT_ONCE]
             ids = self.tokenizer.encode("\n".join([f" {x}" for x in some]), add_special_tokens=False).ids
             flat = np.array(ids, "<u4")
             ends = np.append(np.flatnonzero(flat == self.line_end), len(flat)) * 4

@@ -43,7 +43,7 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 0, typ
     ``type_``: ``u2`` or ``u4``; the smallest that holds the vocabulary unless given.
     """
     type_ = type_ or ("u2" if max(Encoder.of(tokenizer).vocabulary, end_id + 1) <= 2**16 else "u4")
-    end = np.array([end_id], f"<{type_}").tobytes()
+    end = np.array([end_id], "<u4").tobytes()
 
     def shard(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task = Encoder.of(tokenizer), TaskContext.get()
@@ -58,12 +58,11 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 0, typ
             texts = batch.column(1).to_pylist()
             files[2].write(np.array(batch.column(0).fill_null(NULL_ID), "<i8").tobytes())
             for lo, hi in slices([len(x or "") for x in texts], 1 << 20):
-                for raw in encoder.encode(texts[lo:hi]):
-                    ids = np.frombuffer(raw, "<u4").astype(f"<{type_}").tobytes() + end
-                    files[0].write(ids)
-                    at += len(raw) // 4 + 1
-                    n += 1
-                    files[1].write(at.to_bytes(8, "little"))
+                parts = encoder.encode(texts[lo:hi])
+                ends = at + np.cumsum(np.array([len(x) // 4 + 1 for x in parts], "<u8"))
+                files[0].write(np.frombuffer(end.join([*parts, b""]), "<u4").astype(f"<{type_}").tobytes())
+                files[1].write(ends.astype("<u8").tobytes())
+                at, n = int(ends[-1]), n + len(parts)
         for f, name in zip(files, names):
             f.close()
             store.move(f"{name}.{attempt}", name)
@@ -110,10 +109,11 @@ def read_documents(spark: SparkSession, uri: str) -> DataFrame:
                 number = f"{x['shard']:05d}.bin"
                 ids, offsets = mapped(uri, f"tokens-{number}", type_), mapped(uri, f"offsets-{number}", "u8").astype("i8")
                 names = mapped(uri, f"docs-{number}", "i8")
-                for lo in range(0, len(names), 10_000):
-                    some = names[lo : lo + 10_000]
-                    at = offsets[lo : lo + len(some) + 1]
-                    crc = [zlib.crc32(ids[s:e].astype("<u4").tobytes()) for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
+                for lo, hi in slices(np.diff(offsets).tolist(), 1 << 20):
+                    some, at = names[lo:hi], offsets[lo : hi + 1]
+                    raw = memoryview(ids[at[0] : at[-1]].astype("<u4").tobytes())
+                    cut = ((at - at[0]) * 4).tolist()
+                    crc = [zlib.crc32(raw[s:e]) for s, e in zip(cut[:-1], cut[1:])]
                     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64(), mask=some == NULL_ID), pa.array(at[:-1] + x["base"]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], schema=_READ)
 
     shards = [(s["shard"], s["base"]) for s in manifest["shards"]]
