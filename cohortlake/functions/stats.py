@@ -20,18 +20,20 @@ def quartiles(x: str, names: Sequence[str]) -> list[Column]:
 
 
 def quantile_by_position(df: DataFrame, keys: list[str], x: str, p: float, name: str) -> DataFrame:
-    """The same quantile by row numbers: the value at 1 + p (n - 1), between its two neighbours.
+    """The same quantile by positions: the value at 1 + p (n - 1), between its two neighbours.
 
-    A cross-check of :func:`quantile`; ``keys`` may be empty, then a constant key takes one task.
+    A cross-check of :func:`quantile`. Equal values are counted first, so the window runs over the distinct values of a
+    key, however many rows it has; ``keys`` may be empty.
     """
     keys_ = keys or ["all_rows"]
     df = df if keys else df.withColumn("all_rows", F.lit(1))
-    w = Window.partitionBy(*keys_)
-    ranked = df.where(F.col(x).isNotNull()).select(*keys_, F.col(x).cast("double").alias("v"), F.row_number().over(w.orderBy(x)).alias("rn"), F.count("*").over(w).alias("n"))
+    counts = df.where(F.col(x).isNotNull()).groupBy(*keys_, F.col(x).cast("double").alias("v")).agg(F.count("*").alias("times"))
+    upto = Window.partitionBy(*keys_).orderBy("v")
+    ranked = counts.withColumn("last", F.sum("times").over(upto)).withColumn("n", F.sum("times").over(Window.partitionBy(*keys_)))
     at = 1 + p * (F.col("n") - 1)
     ranked = ranked.withColumn("lo", F.floor(at)).withColumn("hi", F.ceil(at)).withColumn("part", at - F.floor(at))
-    low, high = F.max(F.when(F.col("rn") == F.col("lo"), F.col("v"))), F.max(F.when(F.col("rn") == F.col("hi"), F.col("v")))
-    out = ranked.groupBy(*keys_).agg((low + F.max("part") * (high - low)).alias(name), F.max("n").alias("n"))
+    value = lambda place: F.max(F.when((F.col("last") >= F.col(place)) & (F.col("last") - F.col("times") < F.col(place)), F.col("v")))
+    out = ranked.groupBy(*keys_).agg((value("lo") + F.max("part") * (value("hi") - value("lo"))).alias(name), F.max("n").alias("n"))
     return out if keys else out.drop("all_rows")
 
 

@@ -20,9 +20,8 @@ WITH days AS (
          floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-08')) / 86400000000.0)::BIGINT AS date
   FROM events),
 offering AS (
-  SELECT m AS code_module, p AS code_presentation, 2 * mi + pi AS offering_no
-  FROM (VALUES ('AUTOMOBILE', 0), ('BUILDING', 1), ('FURNITURE', 2), ('HOUSEHOLD', 3), ('MACHINERY', 4)) a(m, mi),
-       (VALUES ('2024B', 0), ('2024J', 1)) b(p, pi)),
+  SELECT code_module, code_presentation, (2 * (dense_rank() OVER (ORDER BY code_module) - 1) + CASE code_presentation WHEN '2024J' THEN 1 ELSE 0 END)::BIGINT AS offering_no
+  FROM (SELECT DISTINCT c_mktsegment AS code_module, CASE WHEN c_custkey % 2 = 0 THEN '2024B' ELSE '2024J' END AS code_presentation FROM customer)),
 kinds AS (SELECT * FROM (VALUES ('click', 0), ('error', 1), ('purchase', 2), ('signup', 3), ('view', 4)) t(activity_type, type_no)),
 courses AS (
   SELECT code_module, code_presentation, CASE code_presentation WHEN '2024B' THEN 42 ELSE 35 END::BIGINT AS module_presentation_length FROM offering),
@@ -81,7 +80,9 @@ dim_assessment AS (
          id_assessment IN (SELECT id_assessment FROM student_assessment) AS has_submissions
   FROM dated),
 dim_vle_site AS (SELECT *, week_from IS NOT NULL AS has_planned_week, id_site NOT IN (SELECT id_site FROM student_vle) AS never_clicked FROM vle),
-dim_week AS (SELECT w::BIGINT AS week_no, (7 * w)::BIGINT AS day_from, (7 * w + 6)::BIGINT AS day_to, w < 0 AS is_pre_start FROM range({FIRST_WEEK}, {LAST_WEEK + 1}) r(w)),
+dim_week AS (
+  SELECT w::BIGINT AS week_no, (7 * w)::BIGINT AS day_from, (7 * w + 6)::BIGINT AS day_to, w < 0 AS is_pre_start
+  FROM (SELECT unnest(generate_series((SELECT least(floor(min(date) / 7.0), 0)::BIGINT FROM student_vle), (SELECT max(n_weeks) - 1 FROM dim_presentation))) AS w)),
 fact_vle_daily AS (
   SELECT id_student, code_module, code_presentation, id_site, date, floor(date / 7.0)::BIGINT AS week_no, sum(sum_click)::BIGINT AS sum_click, count(*) AS n_records, date < 0 AS is_pre_start FROM student_vle GROUP BY ALL),
 fact_submission AS (
@@ -246,7 +247,7 @@ _SQL: dict[str, str] = {
     "deadline_weeks": f"SELECT DISTINCT floor(deadline / 7.0)::BIGINT AS week_no FROM dim_assessment WHERE {HERE} AND assessment_type = 'TMA'",
     "risk_flags": f"SELECT {ENR}, week_no, clicks_cum, clicks_week, avg_score_cum, n_tma_missed_cum, flag_low_clicks, flag_inactive_2w, flag_missed_tma, flag_low_score, risk_score, final_result, is_unsuccessful FROM flags WHERE week_no = {RISK_WEEK}",
     "risk_summary": f"SELECT {OFF}, count(*) AS n_active, count(*) FILTER (risk_score >= 2) AS n_at_risk, {pct('count(*) FILTER (risk_score >= 2)', 'count(*)')} AS at_risk_rate_pct, count(*) FILTER (risk_score >= 3) AS n_high, count(*) FILTER (risk_score = 2) AS n_medium FROM flags WHERE week_no = {RISK_WEEK} GROUP BY ALL",
-    "risk_list": f"SELECT id_student, risk_score, CASE WHEN risk_score > 2 THEN 'high' ELSE 'medium' END AS risk_level, clicks_cum, clicks_week, avg_score_cum, n_tma_missed_cum, row_number() OVER (ORDER BY risk_score DESC, clicks_cum, id_student) AS position FROM flags WHERE week_no = {RISK_WEEK} AND {HERE} AND risk_score >= 2",
+    "risk_list": f"SELECT id_student, risk_score, CASE WHEN risk_score > 2 THEN 'high' ELSE 'medium' END AS risk_level, clicks_cum, clicks_week, avg_score_cum, n_tma_missed_cum, row_number() OVER (PARTITION BY code_module, code_presentation ORDER BY risk_score DESC, clicks_cum, id_student) AS position FROM flags WHERE week_no = {RISK_WEEK} AND {HERE} AND risk_score >= 2",
     "risk_eval": EVAL_WEEKS("true"),
     "risk_sensitivity": " UNION ALL ".join([scen(f"only {f}", f"{f} = 1") for f in ("flag_low_clicks", "flag_inactive_2w", "flag_missed_tma", "flag_low_score")] + [scen(f"at least {k}", f"risk_score >= {k}") for k in (1, 2, 3, 4)] + [scen(f"two, clicks p{q}", f"low{q} + {REST} >= 2") for q in (10, 50)]),
     "label_flip": f"SELECT count(*) AS n_before, count(*) AS n_after, count(*) AS n_same, {pct('sum(is_unsuccessful)', 'count(*)')} AS precision_before, {pct('sum(1 - is_unsuccessful)', 'count(*)')} AS precision_after FROM flags WHERE week_no = {RISK_WEEK} AND risk_score >= 2",
@@ -278,9 +279,9 @@ _SQL: dict[str, str] = {
     "q19": f"SELECT count(*) AS n_enrolled, median(clicks_cum) AS median_clicks FROM fact_student_week WHERE {HERE} AND week_no = {SAMPLE_WEEK} AND is_enrolled", "q20": FORUM,
     "normalized_submission": "SELECT * FROM fact_submission", "normalized_clicks": "SELECT * FROM fact_vle_daily",
     "wide_enrollment": f"SELECT e.*, gender, region, highest_education, imd_band, disability, year, semester, length_days, n_weeks FROM fact_enrollment e LEFT JOIN dim_student USING (id_student) LEFT JOIN dim_presentation USING ({OFF})",
-    "wide_submission": f"SELECT s.*, assessment_type, deadline, weight, is_first_weighted_tma, year, semester, length_days, n_weeks FROM fact_submission s LEFT JOIN (SELECT id_assessment, assessment_type, deadline, weight, is_first_weighted_tma FROM dim_assessment) USING (id_assessment) LEFT JOIN dim_presentation USING ({OFF})",
-    "wide_clicks": f"SELECT v.*, activity_type, week_from, year, semester, length_days, n_weeks FROM fact_vle_daily v LEFT JOIN (SELECT id_site, activity_type, week_from FROM dim_vle_site) USING (id_site) LEFT JOIN dim_presentation USING ({OFF})",
-    "wide_student_week": f"SELECT w.*, final_result, year, semester, length_days, n_weeks FROM fact_student_week w LEFT JOIN (SELECT {ENR}, final_result FROM fact_enrollment) USING ({ENR}) LEFT JOIN dim_presentation USING ({OFF})",
+    "wide_submission": f"SELECT s.*, assessment_type, deadline, weight, is_first_weighted_tma, gender, region, highest_education, imd_band, disability, year, semester, length_days, n_weeks FROM fact_submission s LEFT JOIN (SELECT id_assessment, assessment_type, deadline, weight, is_first_weighted_tma FROM dim_assessment) USING (id_assessment) LEFT JOIN dim_student USING (id_student) LEFT JOIN dim_presentation USING ({OFF})",
+    "wide_clicks": f"SELECT v.*, activity_type, week_from, gender, region, highest_education, imd_band, disability, year, semester, length_days, n_weeks FROM fact_vle_daily v LEFT JOIN (SELECT id_site, activity_type, week_from FROM dim_vle_site) USING (id_site) LEFT JOIN dim_student USING (id_student) LEFT JOIN dim_presentation USING ({OFF})",
+    "wide_student_week": f"SELECT w.*, gender, region, highest_education, imd_band, disability, year, semester, length_days, n_weeks FROM fact_student_week w LEFT JOIN dim_student USING (id_student) LEFT JOIN dim_presentation USING ({OFF})",
     "layout_validate": "SELECT *, true AS is_whole FROM (" + keyed("fact_submission", "id_student, id_assessment", "wide_submission") + " UNION ALL " + keyed("fact_student_week", f"{ENR}, week_no", "wide_student_week") + ")",
     "layout_partition_pruned": f"SELECT week_no, {OFF}, sum(clicks_week)::BIGINT AS clicks FROM fact_student_week WHERE week_no BETWEEN {RISK_WEEK - 1} AND {RISK_WEEK} GROUP BY ALL",
     "nested_timeline": f"SELECT {ENR}, count(*) AS n_weeks, min(week_no) AS first_week, sum(clicks_week)::BIGINT AS clicks FROM fact_student_week GROUP BY ALL", "timeline_unnest": f"SELECT {ENR}, {DOC} FROM fact_student_week WHERE {HERE}",

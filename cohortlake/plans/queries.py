@@ -118,7 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "null_profile": _of(lambda w: Q.null_profile(w.fact_submission)),
     "count_reconcile": _of(lambda w: Q.reconcile_counts({"fact_submission": w.fact_submission, "fact_enrollment": w.fact_enrollment, "fact_vle_daily": w.fact_vle_daily}, {"fact_submission": w.raw["student_assessment"], "fact_enrollment": w.raw["student_info"], "fact_vle_daily": w.raw["student_vle"]})),
     "floor_week": _of(lambda w: w.raw["student_vle"].groupBy("date").agg(F.count("*").alias("n")).select("date", C.week_of(F.col("date")).alias("week_no"), "n")),
-    "enrolled_at": _of(lambda w: w.fact_enrollment.crossJoin(F.broadcast(w.dim_week)).where(C.enrolled_at(F.col("date_unregistration"), F.col("day_to"))).groupBy("week_no").agg(F.count("*").alias("n"))),
+    "enrolled_at": _of(lambda w: w.fact_enrollment.groupBy("date_unregistration").agg(F.count("*").alias("n")).crossJoin(w.dim_week).where(C.enrolled_at(F.col("date_unregistration"), F.col("day_to"))).groupBy("week_no").agg(F.sum("n").alias("n"))),
     "safe_rate": _of(lambda w: w.dim_assessment.join(w.fact_submission.groupBy("id_assessment").agg(F.count_if("is_late").alias("late"), C.count_where(F.col("score") > 1000).alias("none")), "id_assessment").select("id_assessment", C.percent(F.col("late"), F.col("none")).alias("null_rate"), C.percent(F.col("none"), F.col("late") + 1).alias("rate"))),
     "offering_labels": _of(R.offering_labels),
     "event_week_window": _of(lambda w: weekly.windowed(w.raw["student_vle"].withColumn("event_time", C.event_time(F.col("date")))).groupBy("week_no").agg(F.sum("clicks_week").alias("clicks"), F.count("*").alias("n_keys"))),
@@ -216,7 +216,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "normalized_clicks": _of(lambda w: L.restored_clicks(L.normalised(w)["fact_vle_daily"])),
     **{name: _of(lambda w, n=name: L.wide(w)[n]) for name in ("wide_enrollment", "wide_submission", "wide_clicks", "wide_student_week")},
     "layout_validate": _of(lambda w: L.validate(w.fact_submission, L.wide(w)["wide_submission"], ["id_student", "id_assessment"], "wide_submission").unionByName(L.validate(w.fact_student_week, L.wide(w)["wide_student_week"], [*ENROLMENT, "week_no"], "wide_student_week"))),
-    "layout_partition_pruned": _of(lambda w: w.fact_student_week.where(f"week_no in ({RISK_WEEK - 1}, {RISK_WEEK})").groupBy("week_no", *OFFERING).agg(F.sum("clicks_week").alias("clicks"))),
+    "layout_partition_pruned": _of(lambda w: stored_by_week(w).where(f"week_no in ({RISK_WEEK - 1}, {RISK_WEEK})").groupBy("week_no", *OFFERING).agg(F.sum("clicks_week").alias("clicks"))),
     "nested_timeline": _of(lambda w: L.nested_timeline(w).select(*ENROLMENT, F.size("weeks").alias("n_weeks"), F.col("weeks")[0]["week_no"].alias("first_week"), F.aggregate("weeks", F.lit(0).cast("long"), lambda a, x: a + x["clicks_week"]).alias("clicks"))),
     "timeline_unnest": _of(lambda w: L.unnest(L.nested_timeline(only_sample(w)))),
     "nested_prev_week": _of(lambda w: L.nested_previous_week(L.nested_timeline(w), RISK_WEEK)),
@@ -245,6 +245,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+def stored_by_week(w: Warehouse) -> DataFrame:
+    """The snapshot as a stored table with a directory for each week; a filter on weeks reads those alone."""
+    from ..sources.files import scratch, write_partitioned
+
+    path = scratch(w.spark, "student_week")
+    write_partitioned(w.fact_student_week, path, "week_no", [*OFFERING, "id_student"])
+    return w.spark.read.parquet(path)
+
+
 def only_sample(w: Warehouse) -> Warehouse:
     """The warehouse with the snapshot of the sample offering alone."""
     import copy

@@ -32,7 +32,7 @@ def q05(w: Warehouse, id_assessment: int) -> DataFrame:
     """Submission rate of one assessment; students who banked it leave the denominator."""
     item = w.dim_assessment.where(F.col("id_assessment") == id_assessment).select(*OFFERING, "deadline")
     rows = w.fact_submission.where(F.col("id_assessment") == id_assessment)
-    eligible = w.fact_enrollment.join(F.broadcast(item), OFFERING).where(enrolled_at(F.col("date_unregistration"), F.col("deadline")))
+    eligible = w.fact_enrollment.join(item, OFFERING).where(enrolled_at(F.col("date_unregistration"), F.col("deadline")))
     eligible = eligible.join(rows.where("is_banked").select("id_student"), "id_student", "left_anti")
     got = eligible.join(rows.where("not is_banked").select("id_student", F.lit(True).alias("done")), "id_student", "left")
     return got.agg(F.count("*").alias("n_eligible"), F.count("done").alias("n_submitted"), percent(F.count("done"), F.count("*")).alias("pct"))
@@ -40,7 +40,7 @@ def q05(w: Warehouse, id_assessment: int) -> DataFrame:
 
 def q06(w: Warehouse, module: str, presentation: str) -> DataFrame:
     rows = R.at(R._regular_tma(w), module, presentation).groupBy("id_assessment").agg(percent(F.count_if("is_late"), F.count("*")).alias("pct_late"))
-    got = rows.join(F.broadcast(w.dim_assessment.select("id_assessment", "deadline")), "id_assessment")
+    got = rows.join(w.dim_assessment.select("id_assessment", "deadline"), "id_assessment")
     return got.orderBy(F.desc("pct_late"), "id_assessment").limit(1)
 
 
@@ -68,7 +68,7 @@ def q11(w: Warehouse, module: str, presentation: str, week: int) -> DataFrame:
 def q12(w: Warehouse) -> DataFrame:
     """Offerings with and without a first weighted TMA, the latter listed in order."""
     first = w.dim_assessment.where("is_first_weighted_tma").select(*OFFERING, F.lit(True).alias("found"))
-    rows = w.dim_presentation.select(*OFFERING).join(F.broadcast(first), OFFERING, "left")
+    rows = w.dim_presentation.select(*OFFERING).join(first, OFFERING, "left")
     missing = F.expr("listagg(case when found is null then concat_ws(' ', code_module, code_presentation) end, ', ') within group (order by code_module, code_presentation)")
     return rows.agg(F.count("found").alias("n_with"), count_where(F.col("found").isNull()).alias("n_without"), missing.alias("without_list"))
 

@@ -60,7 +60,7 @@ def attention_list(w: Warehouse, k: int = 3) -> DataFrame:
 
 
 def _active_at_deadline(w: Warehouse, items: DataFrame) -> DataFrame:
-    pairs = w.fact_enrollment.join(F.broadcast(items.select("id_assessment", *OFFERING, "deadline")), OFFERING)
+    pairs = w.fact_enrollment.join(items.select("id_assessment", *OFFERING, "deadline"), OFFERING)
     return pairs.where(enrolled_at(F.col("date_unregistration"), F.col("deadline"))).groupBy("id_assessment").agg(F.count_distinct("id_student").alias("active_students"))
 
 
@@ -68,7 +68,7 @@ def _submitted(w: Warehouse, items: DataFrame) -> DataFrame:
     who = F.col("id_student")
     people = lambda c: F.count_distinct(F.when(c, who))
     banked = F.col("is_banked")
-    return w.fact_submission.join(F.broadcast(items.select("id_assessment")), "id_assessment").groupBy("id_assessment").agg(
+    return w.fact_submission.join(items.select("id_assessment"), "id_assessment").groupBy("id_assessment").agg(
         F.count_distinct(who).alias("submitted_total"), people(~banked).alias("submitted_regular"), people(banked).alias("banked_students"), people(F.col("is_late")).alias("late_submissions"), people(F.col("is_pass_score")).alias("passed_students"),
         count_where(F.col("is_pass_score")).alias("n_pass_scores"), F.count("score").alias("n_scores"), F.avg("score").alias("avg_score"), *S.quartiles("score", ["p25_score", "median_score", "p75_score"]), F.min("score").alias("min_score"), F.max("score").alias("max_score"),
     )
@@ -103,7 +103,7 @@ def assessment_summary(w: Warehouse, id_assessment: int) -> DataFrame:
 
 
 def assessment_scores(w: Warehouse, module: str, presentation: str) -> DataFrame:
-    rows = at(w.fact_submission, module, presentation).where("score is not null").join(F.broadcast(w.dim_assessment.select("id_assessment", "assessment_type", "deadline")), "id_assessment")
+    rows = at(w.fact_submission, module, presentation).where("score is not null").join(w.dim_assessment.select("id_assessment", "assessment_type", "deadline"), "id_assessment")
     return rows.select("id_student", F.concat_ws(" ", "assessment_type", F.col("id_assessment").cast("string")).alias("assessment_label"), "deadline", "score")
 
 
@@ -114,7 +114,7 @@ def assessment_kpis(w: Warehouse, module: str, presentation: str) -> DataFrame:
 
 
 def _regular_tma(w: Warehouse) -> DataFrame:
-    return w.fact_submission.where("not is_banked").join(F.broadcast(w.dim_assessment.where("assessment_type = 'TMA'").select("id_assessment")), "id_assessment")
+    return w.fact_submission.where("not is_banked").join(w.dim_assessment.where("assessment_type = 'TMA'").select("id_assessment"), "id_assessment")
 
 
 def module_scores(w: Warehouse) -> DataFrame:
@@ -125,7 +125,7 @@ def module_scores(w: Warehouse) -> DataFrame:
 
 
 def submission_overview(w: Warehouse) -> DataFrame:
-    rows = w.fact_submission.join(F.broadcast(w.dim_assessment.where("assessment_type in ('TMA', 'CMA')").select("id_assessment")), "id_assessment")
+    rows = w.fact_submission.join(w.dim_assessment.where("assessment_type in ('TMA', 'CMA')").select("id_assessment"), "id_assessment")
     return rows.groupBy(*OFFERING).agg(F.count_distinct("id_assessment").alias("n_assessments"), F.count("*").alias("n_submissions"), F.count_if("is_late").alias("n_late"), percent(F.count_if("is_late"), count_where(~F.col("is_banked"))).alias("late_rate_pct"), F.avg("score").alias("avg_score"), F.median("score").alias("median_score"))
 
 
@@ -133,7 +133,7 @@ def submission_overview(w: Warehouse) -> DataFrame:
 
 
 def _with_type(w: Warehouse, clicks: DataFrame) -> DataFrame:
-    return clicks.join(F.broadcast(w.dim_vle_site.select("id_site", *OFFERING, "activity_type")), ["id_site", *OFFERING])
+    return clicks.join(w.dim_vle_site.select("id_site", *OFFERING, "activity_type"), ["id_site", *OFFERING])
 
 
 def enrolled_by_week(w: Warehouse) -> DataFrame:
@@ -192,7 +192,7 @@ def top_types_trend(w: Warehouse, k: int = 3) -> DataFrame:
     """Weekly clicks of the k types with most clicks."""
     rows = clicks_by_week_type(w)
     top = rows.groupBy("activity_type").agg(F.sum("total_clicks").alias("n")).orderBy(F.desc("n"), "activity_type").limit(k)
-    return rows.join(F.broadcast(top.select("activity_type")), "activity_type", "left_semi")
+    return rows.join(top.select("activity_type"), "activity_type", "left_semi")
 
 
 def offering_week_type(w: Warehouse, module: str, presentation: str) -> DataFrame:
@@ -205,7 +205,7 @@ def offering_week_type(w: Warehouse, module: str, presentation: str) -> DataFram
 def student_pairs(w: Warehouse) -> DataFrame:
     """Score of the first weighted TMA and clicks strictly before its deadline; students without clicks stay in."""
     first = w.dim_assessment.where("is_first_weighted_tma").select("id_assessment", "deadline")
-    scored = w.fact_submission.where("score is not null and not is_banked").join(F.broadcast(first), "id_assessment").select(*ENROLMENT, "deadline", "score")
+    scored = w.fact_submission.where("score is not null and not is_banked").join(first, "id_assessment").select(*ENROLMENT, "deadline", "score")
     clicks = w.fact_vle_daily.join(scored.select(*ENROLMENT, "deadline"), ENROLMENT).where("date < deadline").groupBy(*ENROLMENT).agg(F.sum("sum_click").alias("clicks_before"))
     return scored.join(clicks, ENROLMENT, "left").select(*ENROLMENT, F.coalesce("clicks_before", F.lit(0)).alias("clicks_before"), "score")
 
@@ -241,7 +241,7 @@ def risk_flags_all(w: Warehouse, weeks: list[int], quantiles: dict[str, float] |
     rows = w.fact_student_week.where(F.col("week_no").isin(needed)).withColumn("clicks_before_week", previous_value("clicks_week", ENROLMENT, "week_no"))
     rows = rows.where(F.col("week_no").isin(list(weeks)) & F.col("is_enrolled"))
     limits = rows.groupBy(*OFFERING, "week_no").agg(*(S.quantile("clicks_cum", q).alias(f"limit{k}") for k, q in quantiles.items()))
-    rows = rows.join(F.broadcast(limits), [*OFFERING, "week_no"])
+    rows = rows.join(limits, [*OFFERING, "week_no"])
     as_int = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     flags = [as_int(F.col("clicks_cum") < F.col(f"limit{k}")).alias(f"flag_low_clicks{k}") for k in quantiles]
     flags += [as_int((F.col("clicks_week") == 0) & (F.col("clicks_before_week") == 0)).alias("flag_inactive_2w"), as_int(F.col("n_tma_missed_cum") > 0).alias("flag_missed_tma"), as_int(F.col("avg_score_cum") < 40).alias("flag_low_score")]
@@ -271,7 +271,7 @@ def risk_summary(w: Warehouse, week: int) -> DataFrame:
 def risk_list(w: Warehouse, week: int, module: str, presentation: str) -> DataFrame:
     """Students with two signs and more, highest first, fewest clicks first."""
     got = at(risk_flags_all(w, [week]), module, presentation).withColumn("risk_score", _score()).where("risk_score >= 2")
-    order = F.row_number().over(Window.orderBy(F.desc("risk_score"), "clicks_cum", "id_student"))
+    order = F.row_number().over(Window.partitionBy(*OFFERING).orderBy(F.desc("risk_score"), "clicks_cum", "id_student"))
     return got.select("id_student", "risk_score", risk_level(F.col("risk_score")).alias("risk_level"), "clicks_cum", "clicks_week", "avg_score_cum", "n_tma_missed_cum", order.alias("position"))
 
 

@@ -25,9 +25,10 @@ def _offering_no() -> F.Column:
     return (2 * module + F.when(F.col("code_presentation") == "2024J", 1).otherwise(0)).cast("int")
 
 
-def offerings(spark: SparkSession) -> DataFrame:
-    """The ten offerings: a table of fixed size."""
-    codes = spark.range(10).select(_pick(MODULES, F.floor(F.col("id") / 2)).alias("code_module"), F.when(F.col("id") % 2 == 0, "2024B").otherwise("2024J").alias("code_presentation"))
+def offerings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offerings that customers are in: their market segment, in one of two terms."""
+    term = F.when(F.col("c_custkey") % 2 == 0, "2024B").otherwise("2024J")
+    codes = _read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("code_module"), term.alias("code_presentation")).distinct()
     return codes.withColumn("offering_no", _offering_no())
 
 
@@ -49,26 +50,26 @@ def _enrolments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """courses, assessments, vle, student_info, student_registration, student_assessment, student_vle."""
-    offering = offerings(spark)
+    offering = offerings(spark, sf_dir)
     courses = offering.select("code_module", "code_presentation", F.when(F.col("code_presentation") == "2024B", 42).otherwise(35).alias("module_presentation_length"))
 
     a = F.col("a")
     weight = F.when((F.col("code_module") == "MACHINERY") & (a < 3), 0.0).otherwise(_pick(["0", "20", "30", "0", "50"], a).cast("double"))
-    assessments = offering.crossJoin(spark.range(5).select(F.col("id").cast("int").alias("a"))).select(
+    assessments = offering.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(4)))).select(
         "code_module", "code_presentation", (100 * F.col("offering_no") + a).cast("int").alias("id_assessment"), _pick(["TMA", "TMA", "TMA", "CMA", "Exam"], a).alias("assessment_type"),
         F.when(a < 4, 5 * a + 2).cast("int").alias("date"), weight.alias("weight"),
     )
     k = F.col("k")
-    places = spark.range(55).select(F.floor(F.col("id") / 11).cast("int").alias("t"), (F.col("id") % 11).cast("int").alias("k"))
+    places = offering.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(10))))
     planned = F.when(k % 2 == 0, k)
-    vle = offering.crossJoin(places).select((1000 * F.col("offering_no") + 20 * F.col("t") + k).cast("int").alias("id_site"), "code_module", "code_presentation", _pick(TYPES, F.col("t")).alias("activity_type"), planned.alias("week_from"), planned.alias("week_to"))
+    vle = places.select((1000 * F.col("offering_no") + 20 * F.col("t") + k).cast("int").alias("id_site"), "code_module", "code_presentation", _pick(TYPES, F.col("t")).alias("activity_type"), planned.alias("week_from"), planned.alias("week_to"))
 
     place = _read(spark, sf_dir, "nation").join(_read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("region"))
     enrolled = _enrolments(spark, sf_dir)
     s, nation, balance = F.col("id_student"), F.col("c_nationkey"), F.col("c_acctbal")
     band = F.when(nation < 3, None).when(nation < 6, "10-20").when(nation < 14, "0-10%").otherwise("90-100%")
     result = F.when(~F.col("is_first") | (balance < 0), "Withdrawn").when(balance < 3000, "Fail").when(balance < 8000, "Pass").otherwise("Distinction")
-    info = enrolled.join(F.broadcast(place), "c_nationkey").select(
+    info = enrolled.join(place, "c_nationkey").select(
         "code_module", "code_presentation", "id_student", F.when(s % 2 == 0, "F").otherwise("M").alias("gender"), "region", _pick(EDUCATION, s % 5).alias("highest_education"), band.alias("imd_band"), _pick(AGES, s % 3).alias("age_band"),
         F.when(F.col("is_first"), s % 3).otherwise(0).cast("int").alias("num_of_prev_attempts"), (30 + 30 * (s % 4)).cast("int").alias("studied_credits"), F.when(s % 9 == 0, "Y").otherwise("N").alias("disability"), result.alias("final_result"),
     )

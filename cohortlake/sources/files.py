@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
@@ -63,6 +66,17 @@ def write_partitioned(df: DataFrame, path: str, by: str, cluster: list[str]) ->
     df.repartitionByRange(by, *cluster).sortWithinPartitions(by, *cluster).write.mode("overwrite").partitionBy(by).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """An unused path in the folder of ``spark.checkpoint.dir``; a temporary one where a local session has none set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='cohortlake-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def append_report(spark: SparkSession, path: str, rows: list[tuple[str, int, int | None, float]]) -> None:
     """Appends (table, rows, expected, seconds) of a run."""
     got = spark.createDataFrame(rows, "table_name string, n_rows long, n_expected long, seconds double")
