@@ -86,7 +86,12 @@ class Block:
 
 
 def mark(docs: DataFrame, items: DataFrame, n: int = 10, max_windows: int = 1_000_000) -> DataFrame:
-    """``docs`` with counts of words and hit words, a bit for each word, and the items found."""
+    """``docs`` with counts of words and hit words, a bit for each word, and the items found.
+
+    A column of ``docs`` that has the name of an added one gives way to it.
+    """
+    added = {WORDS, HITS, BITS, ITEMS}
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in added))
     spark, windows = docs.sparkSession, item_windows(items, n)
     total = windows.count()
     blocks = max(1, -(-total // max_windows))
@@ -127,6 +132,8 @@ def _scan(docs: DataFrame, block, names: list[str], first: bool) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, drop_above: float = 0.5, max_windows: int = 1_000_000) -> DataFrame:
     """``docs`` without the spans of hit words; documents of which more than ``drop_above`` is hit go altogether."""
+    schema = docs.schema
+    docs = docs.toDF(*(c if c == "text" else f"own_{i}" for i, c in enumerate(docs.columns)))  # apart from the names that are added
     names = docs.columns
     at = names.index("text")
 
@@ -152,7 +159,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, drop_above: fl
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     marked = mark(docs, items, n, max_windows).where(F.col(HITS) <= drop_above * F.col(WORDS))
-    return marked.mapInArrow(tidy(run), docs.schema)
+    return marked.mapInArrow(tidy(run), docs.schema).toDF(*schema.names)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

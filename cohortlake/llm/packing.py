@@ -1,10 +1,12 @@
 """Harmonic packing of documents into token sequences of a fixed capacity.
 
-Lengths fall into reciprocal-capacity classes: class k holds pieces of which k fill a sequence. A document is cut so that
-each piece has exactly the length capacity/k of its class, for k a power of two: full sequences first, then its rest
-by halves. A bin of class k closes after k pieces and is full; each worker fills its own bins, so packing needs no
-shuffle. The bins that a worker leaves open (under k pieces, one bin a class) are split into power-of-two runs, which are
-sequences that need no padding. So nothing is padded, whatever the lengths.
+A document longer than the capacity gives full sequences first. The length of its rest puts it into a reciprocal-capacity
+class: class k has the lengths from capacity/k to below capacity/(k - 1), for k up to ``CLASSES``. Of such a rest a piece of
+exactly capacity/k goes to its class, and what is left over is classed again; k pieces fill a bin, whatever the documents.
+Left-overs shorter than capacity/``CLASSES`` go to the last class, whose bins are filled in turn and cut at their end. Each
+worker fills its own bins, so packing needs no shuffle. Where k does not divide the capacity, the fewer than k tokens that
+a bin lacks are cut from the last class. The bins that a worker leaves open are emptied into the last class, whose last bin
+is cut into powers of two, which need no padding. So nothing is padded, whatever the lengths.
 
 Nulls and edges: a null text is empty and packs its end id alone; a null id stays null; repeated rows are packed each;
 other columns are ignored; an empty table gives no rows. Sequence ids are unique: the partition's number, then a count.
@@ -27,38 +29,101 @@ _COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
 _ARROW = pa.schema([(x, pa.int64()) for x in _COLUMNS])
 
 
-def cuts(length: int, capacity: int) -> list[int]:
-    """Piece lengths of a document: whole sequences, then the powers of two of the rest, longest first."""
-    rest = length % capacity
-    return [capacity] * (length // capacity) + [1 << j for j in range(rest.bit_length() - 1, -1, -1) if rest >> j & 1]
+#: classes of a fixed count of documents
+CLASSES = 8
+
+
+def cuts(length: int, capacity: int, classes: int = CLASSES) -> list[tuple[int, int]]:
+    """Pieces (length, class) of a document: whole sequences, then the classes of the rest; 0 is the last class."""
+    out, rest = [(capacity, 1)] * (length // capacity), length % capacity
+    while rest:
+        k = -(-capacity // rest)
+        k += rest < capacity // k  # where capacity / k is rounded down
+        size = capacity // k if k <= classes else rest
+        if k > classes or size < 1:
+            out.append((rest, 0))
+            break
+        out.append((size, k))
+        rest -= size
+    return out
 
 
 class Bins:
-    """The open bin of each class of one worker."""
+    """The open bin of each class of one worker. A piece is (document, start, length, crc of its ids, tokens), with its ids."""
 
     def __init__(self, capacity: int, first_id: int) -> None:
         self.capacity, self.next_id = capacity, first_id
-        self.open: dict[int, list[tuple[int, ...]]] = {}
+        self.open: dict[int, list[tuple]] = {}
+        self.filled = 0
         self.rows: list[tuple[int, ...]] = []
 
-    def _close(self, pieces: list[tuple[int, ...]], size: int) -> None:
-        self.rows += [(*x, self.next_id, i * size) for i, x in enumerate(pieces)]
+    def _place(self, piece: tuple, offset: int) -> None:
+        doc, start, ids, tokens = piece
+        self.rows.append((doc, start, len(ids) // 4, zlib.crc32(ids), tokens, self.next_id, offset))
+
+    def _close(self, pieces: list[tuple]) -> None:
+        offset = 0
+        for piece in pieces:
+            self._place(piece, offset)
+            offset += len(piece[2]) // 4
         self.next_id += 1
 
-    def put(self, size: int, piece: tuple[int, ...]) -> None:
-        bin_ = self.open.setdefault(size, [])
-        bin_.append(piece)
-        if len(bin_) * size == self.capacity:
-            self._close(self.open.pop(size), size)
+    def _fill(self, pieces: list[tuple]) -> None:
+        """Close a bin; what it lacks, fewer tokens than it has pieces, comes from the end of the last class's bin."""
+        gap = self.capacity - sum(len(x[2]) // 4 for x in pieces)
+        if gap > self.filled:
+            for piece in pieces:
+                self.put(0, piece)
+            return
+        self.filled -= gap
+        while gap:
+            doc, start, ids, tokens = self.open[0].pop()
+            n = len(ids) // 4
+            taken = min(n, gap)
+            if taken < n:
+                self.open[0].append((doc, start, ids[: 4 * (n - taken)], tokens))
+            pieces.append((doc, start + n - taken, ids[4 * (n - taken) :], tokens))
+            gap -= taken
+        self._close(pieces)
+
+    def put(self, k: int, piece: tuple) -> None:
+        bin_ = self.open.setdefault(k, [])
+        if k:
+            bin_.append(piece)
+            if len(bin_) == k:
+                self._fill(self.open.pop(k))
+            return
+        doc, start, ids, tokens = piece
+        while self.filled + len(ids) // 4 >= self.capacity:
+            room = self.capacity - self.filled
+            if room:
+                bin_.append((doc, start, ids[: 4 * room], tokens))
+            start, ids = start + room, ids[4 * room :]
+            self._close(bin_)
+            bin_.clear()
+            self.filled = 0
+        if ids:
+            bin_.append((doc, start, ids, tokens))
+            self.filled += len(ids) // 4
 
     def finish(self) -> None:
-        """Close what is open as runs whose lengths are powers of two."""
-        for size in sorted(self.open, reverse=True):
-            pieces = self.open[size]
-            for n in cuts(len(pieces), 1 << (len(pieces).bit_length() - 1)):
-                self._close(pieces[:n], size)
-                pieces = pieces[n:]
-        self.open = {}
+        """Empty all open bins into the last class; its last bin becomes sequences of powers of two."""
+        for k in sorted(k for k in self.open if k):
+            for piece in self.open.pop(k):
+                self.put(0, piece)
+        left = self.open.pop(0, [])
+        for j in range(self.filled.bit_length() - 1, -1, -1):
+            room, taken = (1 << j) * (self.filled >> j & 1), []
+            while room:
+                doc, start, ids, tokens = left.pop(0)
+                if len(ids) // 4 > room:
+                    left.insert(0, (doc, start + room, ids[4 * room :], tokens))
+                    ids = ids[: 4 * room]
+                taken.append((doc, start, ids, tokens))
+                room -= len(ids) // 4
+            if taken:
+                self._close(taken)
+        self.filled = 0
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, keep_encoder: bool = True) -> DataFrame:
@@ -84,9 +149,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
                 for name, raw in zip(names[lo:hi], encoder.encode(texts[lo:hi])):
                     raw += end
                     n, start = len(raw) // 4, 0
-                    for size in cuts(n, capacity):
-                        crc = zlib.crc32(raw[4 * start : 4 * (start + size)])
-                        bins.put(size, (name, start, size, crc, n))
+                    for size, k in cuts(n, capacity):
+                        bins.put(k, (name, start, raw[4 * start : 4 * (start + size)], n))
                         start += size
                 if len(bins.rows) > 20_000:
                     yield out()

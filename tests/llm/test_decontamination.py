@@ -61,3 +61,13 @@ def test_spans_and_documents_go(spark):
     docs = spark.createDataFrame([(1, f"Start here, {item}; and so it ends with many words after the passage is over."), (2, item), (3, "clean"), (4, None)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in D.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
     assert got == {1: "Start here, ; and so it ends with many words after the passage is over.", 3: "clean", 4: None}
+
+
+def test_names_that_the_operator_adds(spark):
+    ship(spark)
+    words = [f"w{i}" for i in range(10)]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "before " + " ".join(words) + " after all of that is said, and more of it than was in the item itself", 5, "a")], f"doc_id long, text string, {D.HITS} int, {D.ITEMS.upper()} string")
+    (got,) = D.decontaminate(docs, items).collect()
+    assert got.asDict().keys() == {"doc_id", "text", D.HITS, D.ITEMS.upper()} and got[2:] == (5, "a") and got.text.startswith("before  after")
+    assert D.mark(docs, items).select(D.HITS).first()[0] == 10
