@@ -52,9 +52,32 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage, survives a lost executor."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    _written(df.sparkSession).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _written(spark: SparkSession) -> list[str]:
+    context = spark.sparkContext
+    if not hasattr(context, "_cohortlake_written"):
+        context._cohortlake_written = []
+    return context._cohortlake_written
+
+
+def release(spark: SparkSession, *keep: DataFrame) -> None:
+    """Remove the tables that ``materialise`` has written in this application, but for those that ``keep`` reads.
+
+    To be called when all results that rest on them have been written: a stage of a pipeline does it for the one before.
+    """
+    read = [f.split("://")[-1].removeprefix("file:") for df in keep for f in df.inputFiles()]
+    paths, jvm = _written(spark), spark.sparkContext._jvm
+    for path in list(paths):
+        plain = path.split("://")[-1].removeprefix("file:")
+        if not any(plain in f for f in read):
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            paths.remove(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once for each Spark application: they don't share the driver's code.
 
