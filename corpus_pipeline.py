@@ -3,6 +3,8 @@
 Nulls and edges: rows with a null text have no words; they pass the first four stages if the classifier keeps them, and
 pack as an empty document. Rows with a null id are never taken for copies. An empty table gives no rows. ``n_chars``
 follows the text that a stage leaves.
+
+A stage is given what its predecessor returned as a written table, and removes the predecessor's intermediate tables.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.llm import decontamination, near_dedup, packing, quality, substring
-from cohortlake.llm.common import crc_remainder, materialise, table
+from cohortlake.llm.common import crc_remainder, fresh_path, release, table
 from cohortlake.llm.encoding import default_tokenizer
 
 
@@ -26,21 +28,25 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    release(spark, docs)
     return near_dedup.keep_one(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more stay in the first document that has them."""
+    release(spark, docs)
     return _measured(substring.cut_repeats(docs))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages go; documents that are mostly benchmark go altogether."""
+    release(spark, docs)
     return _measured(decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences of 1024."""
+    release(spark, docs)
     return packing.pack(docs, default_tokenizer(), keep_encoder=False)
 
 
@@ -60,5 +66,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage returns is written to the shared folder and read by the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        path = fresh_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
