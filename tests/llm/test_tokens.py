@@ -102,3 +102,27 @@ def test_packing_odd_rows(spark, odd, empty):
     assert O.read_documents(spark, uri).count() == 0
     with pytest.raises(ValueError):
         P.pack(odd, default_tokenizer(), 1000)
+
+
+def test_reciprocal_classes():
+    """Rests are cut to capacity / k, a bin of class k takes k of them, and nothing is padded."""
+    rng = np.random.default_rng(4)
+    for capacity in (16, 1024):
+        bins, whole = P.Bins(capacity, 0), 0
+        for doc, n in enumerate(rng.integers(1, 3 * capacity, 300).tolist()):
+            pieces = P.cuts(n, capacity)
+            assert sum(size for size, _ in pieces) == n and all(k == 0 or size == capacity // k for size, k in pieces)
+            assert all(size < -(-capacity // P.CLASSES) for size, k in pieces if k == 0)
+            start = 0
+            for size, k in pieces:
+                bins.put(k, (doc, start, bytes(4 * size), n))
+                start += size
+            whole += n
+        bins.finish()
+        length, several = {}, {}
+        for _, _, n, _, _, sequence, offset in bins.rows:
+            length[sequence] = max(length.get(sequence, 0), offset + n)
+            several.setdefault(sequence, []).append(n)
+        assert sum(length.values()) == whole == sum(map(sum, several.values()))
+        assert all(n == capacity or n & (n - 1) == 0 for n in length.values())
+        assert sum(n < capacity for n in length.values()) <= capacity.bit_length()
