@@ -140,3 +140,28 @@ def test_documents_round_trip(spark, sf_dir):
     w = Warehouse(spark, bridge.raw_tables(spark, sf_dir))
     flat = L.unnest(L.nested_timeline(w))
     assert Q.fingerprint(flat).first() == Q.fingerprint(L.document_rows(L.documents(w))).first()
+
+
+def test_days_are_written_apart(spark, tmp_path):
+    df = spark.createDataFrame([(1, -3), (2, 5), (3, 5)], "k int, date int")
+    files.write_by_day(df, f"{tmp_path}/days")
+    assert sorted(p.name for p in (tmp_path / "days").glob("date=*")) == ["date=-3", "date=5"]
+    assert rows(spark.read.parquet(f"{tmp_path}/days").select("k", "date")) == rows(df)
+
+
+def test_weeks_come_from_the_tables(spark):
+    from cohortlake.plans.warehouse import dim_week
+
+    clicks = spark.createDataFrame([(-9,), (3,)], "date int")
+    length = spark.createDataFrame([(3,), (2,)], "n_weeks int")
+    assert [tuple(r) for r in dim_week(clicks, length).orderBy("week_no").collect()] == [(w, 7 * w, 7 * w + 6, w < 0) for w in (-2, -1, 0, 1, 2)]
+    assert dim_week(clicks.where("date > 99"), length).count() == 3
+
+
+def test_missed_items_are_the_changes_added_up(spark, sf_dir):
+    from cohortlake.plans.warehouse import WEEKLY, missed_items
+
+    w = Warehouse(spark, bridge.raw_tables(spark, sf_dir))
+    listed = missed_items(w.fact_enrollment, w.dim_presentation, w.dim_assessment, w.fact_submission, -1).select(*WEEKLY, "n_tma_missed_cum")
+    added = w.fact_student_week.where("n_tma_missed_cum <> 0").select(*WEEKLY, "n_tma_missed_cum")
+    assert rows(listed) == rows(added) and added.count() > 0
