@@ -24,11 +24,12 @@ from . import words as W
 from .common import crc_remainder, table, tidy
 from .quality import chosen_labels
 
-BITS, SHARDS, MAX_TRAIN, EPOCHS = 22, 8, 24_000, 4
+BITS, SHARDS, MAX_TRAIN, EPOCHS = 22, 8, 24_000, 3
 #: training rows for each shard at least, and documents in which a feature of a shard occurs at least
 SHARD_ROWS, MIN_DOCUMENTS = 2_500, 5
-#: fixed values of the learner: rate, its offset, L1, L2
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.1
+#: fixed values of the learner: rate, its offset, L1, L2; these, EPOCHS and MIN_DOCUMENTS have the least log loss over four
+#: folds of training rows (crc32(doc_id as text) mod 5 is not 0, fold by crc32 div 5 mod 4); held-out rows had no part in it
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 5.0, 0.01
 _SALT = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 
 

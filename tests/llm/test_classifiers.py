@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
@@ -34,6 +36,38 @@ def test_toxicity_on_held_out_rows(spark):
     assert held_out(rows, sf_dir, "toxic") > 0.9
 
 
+def test_ftrl_equals_plain_loop():
+    rng = np.random.default_rng(5)
+    rows = [(int(rng.random() < 0.4), np.unique(rng.integers(0, 40, 12))) for _ in range(120)]
+    rows += [(1, np.array([3, 50])), (0, np.array([], np.int64))]  # 50 is in fewer documents than MIN_DOCUMENTS
+    at, w, bias = T.ftrl(rows, epochs=2, seed=3)
+    z, n, count = {}, {}, {}
+    for _, x in rows:
+        for i in x.tolist():
+            count[i] = count.get(i, 0) + 1
+
+    def weight(i):
+        l1 = 0 if i == "bias" else T.L1
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((T.BETA + math.sqrt(n[i])) / T.ALPHA + T.L2)
+
+    order = np.random.default_rng(3)
+    for _ in range(2):
+        for k in order.permutation(len(rows)).tolist():
+            y, x = rows[k]
+            used = [i for i in x.tolist() if count[i] >= T.MIN_DOCUMENTS] + ["bias"]
+            own = {i: weight(i) for i in used}
+            g = 1 / (1 + math.exp(-sum(own.values()))) - y
+            for i in used:
+                before = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / T.ALPHA * own[i]
+                n[i] = before + g * g
+    want = {i: weight(i) for i in z if i != "bias" and weight(i)}
+    assert want and sorted(want) == at.tolist() and 50 not in want
+    assert np.allclose(w, [want[i] for i in sorted(want)]) and np.isclose(bias, weight("bias"))
+
+
 def test_context_vectors_equal_plain_sums(spark):
     ship(spark)
     texts = ["a b c a", None, "", "b b , c"]
