@@ -6,6 +6,10 @@ one that to the boilerplate terminal. Smoothness edges join neighbouring blocks,
 each block to the last one in the same container (DOM proximity). The minimum cut, found by maximum flow, labels the blocks
 at the least total of classifier cost and cut edges. One page is a problem of its own: one pass, no shuffle.
 
+A class, id or role made up of side names and words of layout alone (``cookie-notice``, ``sidebar-left``) weighs heavily; a
+side name beside other words (``social-history``), a name that may also be a topic (``legal``, ``share``), and hidden elements
+weigh little: length, links and the blocks around decide. Fallback text (noscript, object, iframe) is text like any other.
+
 Nulls and edges: a null, empty or text-free page gives an empty text; null ids and urls are kept; repeated rows are
 extracted each; other columns are ignored; unclosed and misnested tags are closed by their parents; an empty table gives
 no rows. A page's memory follows its own length.
@@ -32,17 +36,19 @@ SELF_CLOSING = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIDE_TAGS = frozenset("aside button dialog footer form head menu nav".split())
 SIDE_NAMES = frozenset(
-    "ad ads adsense advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright dialog disclaimer discussion disqus footer gdpr legal login menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
+    "ad ads adsense advert advertisement adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright dialog disqus footer login menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted recommended replies respond sidebar signup sponsor sponsored subscribe subscription toolbar widget".split()
 )
+TOPIC_NAMES = frozenset("alert disclaimer discussion gdpr legal promotion related reply search share sharing social".split())
+LAYOUT_NAMES = frozenset("area bar bottom box btn button buttons card col column container desktop fixed global group header inner items left links list main mobile module open outer page panel right row section site slot sticky top unit wrap wrapper".split())
 HEAD_NAMES = frozenset("header masthead topbar".split())
 MAIN_NAMES = frozenset("article body content entry main post story text".split())
-RAW = "script|style|title|textarea|noscript|iframe|template|svg|canvas|object|select"
+RAW = "script|style|title|textarea|template|svg|canvas|select"
 
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<svg(?:\s[^>]*)?/>|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/a-z][^>]*>", re.S | re.I)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _LETTERS = re.compile(r"[a-z]+")
-SIDE, HEAD, ARTICLE, MAIN, LINK = 1, 2, 4, 8, 16
+SIDE, HEAD, ARTICLE, MAIN, LINK, HINT = 1, 2, 4, 8, 16, 32
 
 
 @dataclass
@@ -60,12 +66,20 @@ def _flags(tag: str, attributes: str) -> int:
     out = SIDE if tag in SIDE_TAGS else HEAD if tag == "header" else ARTICLE if tag == "article" else MAIN if tag == "main" else LINK if tag == "a" else 0
     if attributes:
         for m in _NAMES.finditer(attributes):
-            for name in _LETTERS.findall((m[1] or m[2] or m[3] or "").lower()):
-                out |= SIDE if name in SIDE_NAMES else HEAD if name in HEAD_NAMES else MAIN if name in MAIN_NAMES else 0
+            for value in (m[1] or m[2] or m[3] or "").lower().split():
+                names = _LETTERS.findall(value)
+                if not SIDE_NAMES.isdisjoint(names):
+                    out |= SIDE if all(x in SIDE_NAMES or x in TOPIC_NAMES or x in LAYOUT_NAMES for x in names) else HINT
+                elif not TOPIC_NAMES.isdisjoint(names):
+                    out |= HINT
+                elif not HEAD_NAMES.isdisjoint(names):
+                    out |= HEAD
+                elif not MAIN_NAMES.isdisjoint(names):
+                    out |= MAIN
         if _HIDDEN.search(attributes):
-            out |= SIDE
+            out |= HINT
     if tag in ("body", "html"):  # names of the whole page tell nothing of a part
-        out &= ~(SIDE | HEAD | MAIN)
+        out &= ~(SIDE | HEAD | MAIN | HINT)
     return out
 
 
@@ -136,7 +150,9 @@ def score(block: TextBlock) -> float:
     out = 0.7 * math.log2(1 + words) - 1.8 - 5 * block.linked / max(1, len(block.text))
     if block.tag == "p":
         out += 0.8
-    elif block.tag in ("li", "td", "th", "dt"):
+    elif block.tag in ("td", "th"):  # short by nature
+        out += 1
+    elif block.tag in ("li", "dt"):
         out -= 0.4
     heading = len(block.tag) == 2 and block.tag[0] == "h" and block.tag[1].isdigit()
     if block.flags & ARTICLE:
@@ -147,6 +163,8 @@ def score(block: TextBlock) -> float:
         out -= 1 if heading and block.flags & ARTICLE else 12
     if block.flags & SIDE:
         out -= 14
+    if block.flags & HINT:
+        out -= 3
     return out
 
 
@@ -165,36 +183,54 @@ def edges(blocks: list[TextBlock]) -> dict[tuple[int, int], float]:
 
 
 def min_cut(scores: list[float], smooth: dict[tuple[int, int], float]) -> list[bool]:
-    """Which nodes stay with the content terminal in a minimum cut; of equal cuts the one with the least content."""
+    """Which nodes stay with the content terminal in a minimum cut; of equal cuts the one with the least content.
+
+    Maximum flow in phases: levels from all nodes with flow to give, then every shortest path of the phase.
+    """
     n = len(scores)
     spare = list(scores)  # left to the content terminal (above 0) or to the other (below 0)
     room: list[dict[int, float]] = [{} for _ in range(n)]
     for (i, j), w in smooth.items():
         room[i][j] = room[i].get(j, 0) + w
         room[j][i] = room[j].get(i, 0) + w
+    near = [list(x) for x in room]
     while True:
-        came: dict[int, int] = {i: -1 for i in range(n) if spare[i] > 1e-9}
-        queue, end = deque(came), -1
-        while queue and end < 0:
-            i = queue.popleft()
-            for j, w in room[i].items():
-                if w > 1e-9 and j not in came:
-                    came[j] = i
-                    if spare[j] < -1e-9:
-                        end = j
-                        break
-                    queue.append(j)
-        if end < 0:
-            return [i in came for i in range(n)]
-        path = [end]
-        while came[path[-1]] >= 0:
-            path.append(came[path[-1]])
-        flow = min(spare[path[-1]], -spare[end], *(room[i][j] for j, i in zip(path, path[1:])))
-        spare[path[-1]] -= flow
-        spare[end] += flow
-        for j, i in zip(path, path[1:]):
-            room[i][j] -= flow
-            room[j][i] += flow
+        level = [0 if x > 1e-9 else -1 for x in spare]
+        givers = front = [i for i in range(n) if level[i] == 0]
+        met = False
+        while front and not met:
+            reached = []
+            for i in front:
+                for j in near[i]:
+                    if level[j] < 0 and room[i][j] > 1e-9:
+                        level[j] = level[i] + 1
+                        reached.append(j)
+                        met = met or spare[j] < -1e-9
+            front = reached
+        if not met:
+            return [x >= 0 for x in level]
+        tried = [0] * n
+        for giver in givers:
+            path = [giver]
+            while path and spare[giver] > 1e-9:
+                i = path[-1]
+                if spare[i] < -1e-9:
+                    flow = min(spare[giver], -spare[i], *(room[a][b] for a, b in zip(path, path[1:])))
+                    spare[giver] -= flow
+                    spare[i] += flow
+                    for a, b in zip(path, path[1:]):
+                        room[a][b] -= flow
+                        room[b][a] += flow
+                    path = [giver]
+                    continue
+                while tried[i] < len(near[i]) and not (level[j := near[i][tried[i]]] == level[i] + 1 and room[i][j] > 1e-9):
+                    tried[i] += 1
+                if tried[i] < len(near[i]):
+                    path.append(near[i][tried[i]])
+                else:
+                    path.pop()
+                    if path:
+                        tried[path[-1]] += 1
 
 
 def main_text(page: str | None) -> str:

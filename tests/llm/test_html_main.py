@@ -2,6 +2,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 import pyarrow.parquet as pq
 
@@ -48,6 +49,24 @@ def test_cut_is_minimal():
         assert abs(cost(H.min_cut(scores, smooth)) - min(map(cost, itertools.product([True, False], repeat=n)))) < 1e-6
 
 
+def test_names_that_are_topics_keep_their_text():
+    words = "The quick brown fox jumps over the lazy dog while the others look on in silence."
+    for part in (f'<div class="legal">{words}</div>', f'<p id="share">{words}</p>', f"<noscript><p>{words}</p></noscript>", f'<p class="social-history">{words}</p>', f"<object><p>{words}</p></object>"):
+        assert H.main_text(f"<article><p>{words}</p>{part}<p>{words}</p></article>") == f"{words} {words} {words}"
+    plain = f'<div><p>{words}</p><p class="social-history">{words}</p><p>Yes.</p><table><tr><td>1990<td>12 goals</table><p>{words}</p></div>'
+    assert H.main_text(plain) == f"{words} {words} Yes. 1990 12 goals {words}"
+    for name in ("sidebar-left", "cookie-notice", "comments", "ad-slot", "share-buttons sidebar"):
+        assert H.main_text(f'<article><p>{words}</p></article><div class="{name}"><p>{words}</p></div>') == words
+
+
+def test_many_blocks_take_near_linear_time():
+    rng = random.Random(7)
+    for build in (lambda i: f"<p>{'word ' * rng.randint(1, 40)}</p>", lambda i: f"<div><a href=x>{'link ' * rng.randint(1, 9)}</a>{'word ' * rng.randint(0, 30)}</div>"):
+        began = time.process_time()
+        H.main_text("<body>" + "".join(map(build, range(50_000))))
+        assert time.process_time() - began < 20
+
+
 def test_odd_rows(spark, empty):
     ship(spark)
     pages = spark.createDataFrame([(1, None, None, 1), (1, None, None, 1), (None, "u", "<p>" + "word " * 200_000, 2), (2, "u", "", None)], "page_id long, url string, html string, n_chars int")
