@@ -83,6 +83,30 @@ def append_report(spark: SparkSession, path: str, rows: list[tuple[str, int, int
     got.withColumn("ok", F.col("n_expected").isNull() | (F.col("n_rows") == F.col("n_expected"))).withColumn("at", F.current_timestamp()).write.mode("append").json(path)
 
 
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """The last entry of each table over all runs."""
+    entries = spark.read.schema("table_name string, n_rows long, n_expected long, seconds double, ok boolean, at timestamp").json(path)
+    newest = entries.groupBy("table_name").agg(F.max_by(F.struct("n_rows", "n_expected", "seconds", "ok", "at"), "at").alias("x"))
+    return newest.select("table_name", "x.*")
+
+
+def stored_effect(layouts: dict[str, DataFrame], rows: str) -> DataFrame:
+    """For each stored table: its files and bytes, and those of the files that hold rows of the filter ``rows``."""
+    parts = []
+    for name, df in layouts.items():
+        hit = df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.expr(rows).alias("hit"))
+        files = hit.groupBy("file").agg(F.max("size").alias("size"), F.coalesce(F.bool_or("hit"), F.lit(False)).alias("hit"), F.count_if("hit").alias("n"))
+        sums = files.agg(
+            F.count("*").alias("n_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("n_bytes"), F.count_if("hit").alias("files_hit"),
+            F.coalesce(F.sum(F.when(F.col("hit"), F.col("size"))), F.lit(0)).alias("bytes_hit"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
+        )
+        parts.append(sums.select(F.lit(name).alias("layout"), "*"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def write_by_day(df: DataFrame, path: str, day: str = "date") -> None:
     """One directory per day, for replay."""
     df.repartition(day).write.mode("overwrite").partitionBy(day).parquet(path)

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.columns import event_time, week_of, week_of_window
 from ..operators.relational import latest_by_key
+from ..sources.files import kafka_options
 
 CLICK_SCHEMA = "code_module string, code_presentation string, id_student long, id_site int, date int, sum_click int"
 KEYS = ["id_student", "code_module", "code_presentation"]
@@ -21,6 +22,11 @@ def file_stream(spark: SparkSession, path: str, files_per_trigger: int = 7) -> D
     return spark.readStream.schema(CLICK_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def kafka_stream(spark: SparkSession, servers: str, topic: str, per_trigger: int = 250_000) -> DataFrame:
+    """Clicks from a topic; the session needs Spark's Kafka connector."""
+    return decoded(spark.readStream.format("kafka").options(**kafka_options(servers, topic, per_trigger)).load())
+
+
 def decoded(messages: DataFrame) -> DataFrame:
     """Columns from JSON messages in ``value``."""
     return messages.select(F.from_json(F.col("value").cast("string"), CLICK_SCHEMA).alias("m")).select("m.*")
@@ -50,6 +56,16 @@ def start(sums: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
     return sums.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()
 
 
+def append(rows: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Appends new rows to a table with a column ``batch_id``; a batch that runs again replaces its own rows."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        numbered = batch.withColumn("batch_id", F.lit(number).cast("long"))
+        numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(table)
+
+    return rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()
+
+
 def read_log(spark: SparkSession, log: str) -> DataFrame:
     return spark.read.schema("id_student long, code_module string, code_presentation string, week_no int, clicks_week long, processed_at timestamp, batch_id long").parquet(log)
 

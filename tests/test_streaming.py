@@ -73,3 +73,15 @@ def test_a_batch_that_runs_again_overwrites_itself(spark, sf_dir, tmp_path):
 def test_messages_decode(spark):
     df = spark.createDataFrame([('{"id_student": 3, "date": -1, "sum_click": 2}',), ("broken",)], "value string")
     assert [(r.id_student, r.date, r.sum_click) for r in S.decoded(df).collect()] == [(3, -1, 2), (None, None, None)]
+
+
+def test_append_keeps_batches_and_replaces_one_that_runs_again(spark, sf_dir, tmp_path):
+    data = clicks(spark, sf_dir)
+    for i, week in enumerate(range(0, 3)):
+        put(data.where(F.floor(F.col("date") / 7) == week), tmp_path / "in", f"a{i}")
+    rows = lambda: S.file_stream(spark, f"{tmp_path}/in/*", 1)
+    for checkpoint in ("first", "lost"):  # without its checkpoint the stream runs again from the start
+        S.append(rows(), f"{tmp_path}/table", f"{tmp_path}/{checkpoint}").awaitTermination()
+        got = spark.read.parquet(f"{tmp_path}/table")
+        assert got.select("batch_id").distinct().count() == 3
+        assert sorted(map(tuple, got.drop("batch_id").collect())) == sorted(map(tuple, data.where("date between 0 and 20").collect()))

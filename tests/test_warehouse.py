@@ -165,3 +165,20 @@ def test_missed_items_are_the_changes_added_up(spark, sf_dir):
     listed = missed_items(w.fact_enrollment, w.dim_presentation, w.dim_assessment, w.fact_submission, -1).select(*WEEKLY, "n_tma_missed_cum")
     added = w.fact_student_week.where("n_tma_missed_cum <> 0").select(*WEEKLY, "n_tma_missed_cum")
     assert rows(listed) == rows(added) and added.count() > 0
+
+
+def test_report_keeps_the_last_run_of_each_table(spark, tmp_path):
+    path = f"{tmp_path}/report"
+    files.append_report(spark, path, [("a", 1, 2, 0.5), ("b", 3, None, 0.1)])
+    files.append_report(spark, path, [("a", 2, 2, 0.4)])
+    assert {r.table_name: (r.n_rows, r.n_expected, r.ok) for r in files.read_report(spark, path).collect()} == {"a": (2, 2, True), "b": (3, None, True)}
+
+
+def test_effect_of_stored_layouts(spark, tmp_path):
+    rows = spark.range(4000).select(F.col("id"), (F.col("id") % 8).cast("int").alias("week_no"), F.col("id").cast("string").alias("text"))
+    rows.repartition(8, "id").write.parquet(f"{tmp_path}/plain")
+    files.write_partitioned(rows, f"{tmp_path}/weeks", "week_no", ["id"])
+    got = {r.layout: r for r in files.stored_effect({n: spark.read.parquet(f"{tmp_path}/{n}") for n in ("plain", "weeks")}, "week_no = 3").collect()}
+    assert got["plain"].n_rows == got["weeks"].n_rows == 500
+    assert got["plain"].files_hit == got["plain"].n_files > 1 and got["plain"].bytes_hit == got["plain"].n_bytes
+    assert got["weeks"].bytes_hit < got["weeks"].n_bytes / 4 and got["weeks"].files_hit < got["weeks"].n_files
