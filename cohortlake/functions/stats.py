@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranking import with_average_rank
 from .columns import count_where, fisher_interval, percent
 
 
@@ -38,14 +39,14 @@ def quantile_by_position(df: DataFrame, keys: list[str], x: str, p: float, name:
 
 
 def average_rank(x: str, keys: list[str]) -> Column:
-    """Rank within ``keys`` with ties at their mean."""
+    """Rank within ``keys`` with ties at their mean, by a window: for small groups (see operators.ranking)."""
     w = Window.partitionBy(*keys)
     return F.rank().over(w.orderBy(F.col(x).asc_nulls_last())) + (F.count("*").over(Window.partitionBy(*keys, x)) - 1) / F.lit(2.0)
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
     """Per key: n, rho (correlation of tied ranks) and its interval."""
-    ranked = df.select(*keys, average_rank(x, keys).alias("rx"), average_rank(y, keys).alias("ry"))
+    ranked = with_average_rank(with_average_rank(df.select(*keys, x, y), keys, x, "rx"), keys, y, "ry")
     got = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
     low, high = fisher_interval(F.col("rho"), F.col("n"))
     return got.withColumn("ci_low", low).withColumn("ci_high", high)
@@ -59,7 +60,7 @@ def share_of_total(df: DataFrame, keys: list[str], measure: Column, name: str, s
 
 
 def percent_rank_of(x: str, keys: list[str]) -> Column:
-    """100 * percent rank among the rows that have a value; null for the rest."""
+    """100 * percent rank among the rows that have a value, null for the rest, by a window: for small groups."""
     has = F.col(x).isNotNull()
     return F.when(has, 100.0 * F.percent_rank().over(Window.partitionBy(*keys, has).orderBy(F.col(x).asc_nulls_last())))
 

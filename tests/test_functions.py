@@ -74,3 +74,42 @@ def test_suppression_counts_people_not_rows(spark):
 def test_share_of_total(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",)], "k string")
     assert sorted((r.k, r.n, r.pct) for r in S.share_of_total(df, ["k"], F.count("*"), "n", "pct").collect()) == [("a", 2, 66.7), ("b", 1, 33.3)]
+
+
+def test_ranks_and_quantiles_as_by_windows(spark):
+    """Two-level ranks and bracketed quantiles against the window and the aggregate: ties, nulls, signs, one row, one value."""
+    import random
+
+    from cohortlake.operators import ranking as K
+
+    r = random.Random(7)
+    values = [0.0, -0.5, 1e-300, -1e300, 3.0, None, float("inf"), 5.0]
+    rows = [(g, i, r.choice(values) if i % 3 else r.gauss(0, 10 ** (i % 7))) for i in range(600) for g in "ab"] + [("one", 0, 2.0), ("same", 0, 1.0), ("same", 1, 1.0), ("none", 0, None)]
+    df = spark.createDataFrame([(*x, float(x[1] % 5)) for x in rows], "k string, i int, x double, n_below double")
+    rank = {(t.k, t.i): t.q for t in K.with_average_rank(df.drop("n_below"), ["k"], "x", "q").collect()}
+    assert rank == {(t.k, t.i): t.q for t in df.select("k", "i", S.average_rank("x", ["k"]).alias("q")).collect()}
+    percent = {(t.k, t.i): t.q for t in K.with_percent_rank(df.drop("n_below"), ["k"], "x", "q").collect()}
+    want = {(t.k, t.i): t.q for t in df.select("k", "i", S.percent_rank_of("x", ["k"]).alias("q")).collect()}
+    assert percent.keys() == want.keys() and all(percent[k] == want[k] or abs(percent[k] - want[k]) < 1e-9 for k in want)
+    finite = df.where("x is null or abs(x) < 1e299")
+    probs = {"q0": 0.0, "q10": 0.1, "q25": 0.25, "q50": 0.5, "q99": 0.99, "q100": 1.0}
+    got = {t.k: t for t in K.exact_quantiles(finite, ["k"], "x", probs).collect()}
+    exact = {t.k: t for t in finite.groupBy("k").agg(F.count("x").alias("n"), *(S.quantile("x", p).alias(n) for n, p in probs.items())).where("n > 0").collect()}
+    assert got.keys() == exact.keys() == {"a", "b", "one", "same"}
+    for k, t in exact.items():
+        assert got[k].n == t.n and all(math.isclose(got[k][n], t[n], rel_tol=1e-12) for n in probs), k
+    assert K.exact_quantiles(finite, [], "x", {"m": 0.5}).first().m == pytest.approx(finite.agg(S.quantile("x", 0.5)).first()[0])
+    assert K.exact_quantiles(finite.where("k = 'none'"), ["k"], "x", probs).count() == 0
+    order = [t.x for t in spark.createDataFrame([(v,) for _, _, v in rows], "x double").select("x", K.value_range(F.col("x")).alias("g")).orderBy(F.col("g"), F.col("x").asc_nulls_last()).collect()]
+    assert order == sorted((v for v in order if v is not None)) + [None] * sum(v is None for v in order)
+
+
+def test_sketches_merge_within_their_error(spark):
+    from cohortlake.operators import sketches as K
+
+    n, groups = 60_000, 20
+    df = spark.range(n).select((F.col("id") % groups).alias("g"), (F.col("id") * 7919 % n).cast("double").alias("x"))
+    one = K.sketch(df, ["g"], "x")
+    got = K.quantiles(K.merged(one.withColumn("all", F.lit(1)), ["all"]), ["all"], {f"p{p}": p / 100 for p in (1, 25, 50, 75, 99)}).first()
+    assert got.n == n and all(abs(got[f"p{p}"] / n - p / 100) <= K.rank_error() + 1 / n for p in (1, 25, 50, 75, 99))
+    assert K.sketch(df.withColumn("x", F.lit(None).cast("double")), ["g"], "x").count() == 0
