@@ -121,6 +121,26 @@ def differences(left: DataFrame, right: DataFrame, keys: list[str], tolerance: f
     return both.withColumn("problem", problem).where("problem is not null").select(*keys, "problem")
 
 
+def bag_difference(left: DataFrame, right: DataFrame, places: int = 9) -> DataFrame:
+    """Rows that one side has more often than the other: (row, n_left, n_right), copies counted, without a key.
+
+    Numbers with decimals count to ``places``, as in :func:`fingerprint`; columns go by name. Rows are counted by a 128-bit
+    hash, before they are shuffled; a row itself is kept once for each hash.
+    """
+    names = sorted(left.columns)
+    if names != sorted(right.columns):
+        raise ValueError(f"columns differ: {sorted(set(names) ^ set(right.columns))}")
+    parts = []
+    for df, sides in ((left, (1, 0)), (right, (0, 1))):
+        types = dict(df.dtypes)
+        value = lambda c: F.coalesce(F.format_string(f"%.{places}f", F.round(c, places) + F.lit(0.0)) if types[c] in ("double", "float") else F.col(c).cast("string"), F.lit("\u0000null"))  # noqa: B023, E731
+        texts = F.array(*map(value, names))
+        row = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+        parts.append(df.select(F.xxhash64(texts).alias("h"), F.xxhash64(F.lit(1), texts).alias("g"), row.alias("row"), F.lit(sides[0]).alias("l"), F.lit(sides[1]).alias("r")))
+    got = parts[0].unionByName(parts[1]).groupBy("h", "g").agg(F.min("row").alias("row"), F.sum("l").alias("n_left"), F.sum("r").alias("n_right"))
+    return got.where("n_left <> n_right").select("row", "n_left", "n_right")
+
+
 class GateError(RuntimeError):
     """A check failed; nothing was published."""
 
@@ -130,13 +150,20 @@ class Gate:
 
     def __init__(self) -> None:
         self.checks: dict[str, DataFrame] = {}
+        self.reports: list[DataFrame] = []
 
     def add(self, name: str, failures: DataFrame) -> Gate:
         self.checks[name] = failures
         return self
 
+    def add_report(self, counts: DataFrame) -> Gate:
+        """Checks that were counted together: (check_name, n_failures)."""
+        self.reports.append(counts)
+        return self
+
     def report(self, spark: SparkSession) -> DataFrame:
-        return row_counts(self.checks).select(F.col("table_name").alias("check_name"), F.col("n_rows").alias("n_failures"))
+        parts = [row_counts(self.checks).select(F.col("table_name").alias("check_name"), F.col("n_rows").alias("n_failures"))] if self.checks else []
+        return reduce(DataFrame.unionByName, [*parts, *self.reports])
 
     def enforce(self, spark: SparkSession) -> None:
         bad = self.report(spark).where("n_failures > 0").collect()  # a row for each check

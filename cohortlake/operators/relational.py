@@ -13,9 +13,10 @@ def mark_exists(df: DataFrame, other: DataFrame, keys: list[str], name: str) ->
 
 
 def latest_by_key(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    """The row of the largest ``order`` of each key."""
-    w = Window.partitionBy(*keys).orderBy(*(F.col(c).desc_nulls_last() for c in order))
-    return df.withColumn("latest_rank", F.row_number().over(w)).where("latest_rank = 1").drop("latest_rank")
+    """The row of the largest ``order`` (nulls are smallest) of each key: the largest of each task, then of those."""
+    rest = [c for c in df.columns if c not in keys]
+    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.lit(0).alias("_"), *order)).alias("newest"))
+    return newest.select(*keys, "newest.*").select(*df.columns)
 
 
 def first_qualifying(df: DataFrame, condition: Column, keys: list[str], order: list[str], name: str, key: str) -> DataFrame:

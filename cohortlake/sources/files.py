@@ -66,6 +66,13 @@ def write_partitioned(df: DataFrame, path: str, by: str, cluster: list[str]) ->
     df.repartitionByRange(by, *cluster).sortWithinPartitions(by, *cluster).write.mode("overwrite").partitionBy(by).parquet(path)
 
 
+def write_bucketed(df: DataFrame, name: str, path: str, keys: list[str], buckets: int) -> DataFrame:
+    """A table of the session's catalog at ``path``, in ``buckets`` files by a hash of ``keys`` and sorted by them: tables with
+    the same keys and number of buckets join without a shuffle. Rows are dealt first, so that a bucket is one file."""
+    df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """An unused path in the folder of ``spark.checkpoint.dir``; a temporary one where a local session has none set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -91,7 +98,10 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stored_effect(layouts: dict[str, DataFrame], rows: str) -> DataFrame:
-    """For each stored table: its files and bytes, and those of the files that hold rows of the filter ``rows``."""
+    """For each stored table: its files and bytes, and those of the files that hold rows of the filter ``rows``.
+
+    Looks at every row; what a query really read comes from ``scans.run_scanned``.
+    """
     parts = []
     for name, df in layouts.items():
         hit = df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.expr(rows).alias("hit"))

@@ -16,6 +16,7 @@ from ..sources.files import kafka_options
 
 CLICK_SCHEMA = "code_module string, code_presentation string, id_student long, id_site int, date int, sum_click int"
 KEYS = ["id_student", "code_module", "code_presentation"]
+LOG_SCHEMA = "id_student long, code_module string, code_presentation string, week_no int, clicks_week long, processed_at timestamp, batch_id long"
 
 
 def file_stream(spark: SparkSession, path: str, files_per_trigger: int = 7) -> DataFrame:
@@ -67,7 +68,8 @@ def append(rows: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
 
 
 def read_log(spark: SparkSession, log: str) -> DataFrame:
-    return spark.read.schema("id_student long, code_module string, code_presentation string, week_no int, clicks_week long, processed_at timestamp, batch_id long").parquet(log)
+    """All batches; the schema keeps a log without batches readable."""
+    return spark.read.schema(LOG_SCHEMA).parquet(log)
 
 
 def latest(log: DataFrame) -> DataFrame:

@@ -85,3 +85,71 @@ def test_append_keeps_batches_and_replaces_one_that_runs_again(spark, sf_dir, tm
         got = spark.read.parquet(f"{tmp_path}/table")
         assert got.select("batch_id").distinct().count() == 3
         assert sorted(map(tuple, got.drop("batch_id").collect())) == sorted(map(tuple, data.where("date between 0 and 20").collect()))
+
+
+def test_compacted_log_has_the_same_view(spark, sf_dir, tmp_path):
+    """Before and after compaction, after a replayed batch, and after the old batches are gone."""
+    from cohortlake.streaming.log import CompactedLog
+
+    data = clicks(spark, sf_dir)
+    for i, week in enumerate(range(-1, 4)):
+        put(data.where(F.floor(F.col("date") / 7).isin(week, week - 2)), tmp_path / "in", f"w{i}")
+    _, log = run(spark, tmp_path / "in", tmp_path, "c", S.running)
+    rows = lambda df: sorted((r.id_student, r.code_module, r.code_presentation, r.week_no, r.clicks_week, r.batch_id) for r in df.collect())
+    want = rows(S.latest(S.read_log(spark, log)))
+    own = CompactedLog(spark, log, f"{tmp_path}/bases")
+    assert rows(own.latest()) == want and own.base()[1] == -1
+    old = spark.read.parquet(f"{log}/batch_id=1").cache()
+    old.count()
+    for complete in (1, 3, 2):  # a base that is older than the one that holds isn't made
+        own.compact(complete)
+        assert rows(own.latest()) == want and own.base()[1] == max(complete, own.base()[1])
+    assert own.base()[1] == 3 and own.tail(3).select("batch_id").distinct().count() == 1
+    old.write.mode("overwrite").parquet(f"{log}/batch_id=1")
+    assert rows(own.latest()) == want
+    assert own.remove_old() == [f"batch_id={i}" for i in range(4)] and rows(own.latest()) == want
+    old.write.mode("overwrite").parquet(f"{log}/batch_id=1")
+    assert rows(own.latest()) == want and len(own.bases._names("versions")) == 1
+
+
+def test_raw_late_rows_are_counted_apart_from_dropped_sums(spark, sf_dir, tmp_path):
+    from cohortlake.streaming.watch import observed, watching
+
+    data = clicks(spark, sf_dir)
+    in_time, late = S.split_late(data.where("date < 0"), 300)
+    put(in_time, tmp_path / "in", "a0")
+    for i, week in enumerate(range(0, 4)):
+        put(data.where(F.floor(F.col("date") / 7) == week), tmp_path / "in", f"a{i + 1}")
+    log, checkpoint = f"{tmp_path}/log", f"{tmp_path}/checkpoint"
+    start = lambda: S.start(S.watermarked(observed(S.file_stream(spark, f"{tmp_path}/in/*", 1), -1, 5)), log, checkpoint)
+    with watching(spark) as watch:
+        first = start()
+        first.awaitTermination()
+        seen = watch.of(first)
+        want = in_time.unionByName(data.where("date between 0 and 27")).agg(F.count("*"), F.sum("sum_click"), F.min("date"), F.max("date")).first()
+        assert (seen.rows, seen.clicks, seen.late_rows, seen.dropped_sums) == (want[0], want[1], 0, 0) and seen.batches >= 5
+        assert (seen.last_time - seen.first_time).days == want[3] - want[2] and seen.state_max > seen.state_end > 0
+        put(late, tmp_path / "in", "z")
+        second = start()
+        second.awaitTermination()
+        seen = watch.of(second)
+    assert seen.rows == seen.late_rows == late.count() > seen.dropped_sums > 0
+
+
+def test_state_on_disk_restarts_from_its_checkpoint(spark, sf_dir, tmp_path):
+    from cohortlake.streaming.watch import state_on_disk
+
+    data = clicks(spark, sf_dir)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    with state_on_disk(spark):
+        for i, week in enumerate(range(-1, 4)):
+            put(data.where(F.floor(F.col("date") / 7).isin(week, week - 3)), tmp_path / "in", f"w{i}")
+            if i in (1, 4):  # stops after two files, starts again from the checkpoint
+                query, log = run(spark, tmp_path / "in", tmp_path, "r", S.running)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    assert "rocksdbCommitCheckpointLatency" in str(query.lastProgress["stateOperators"][0]["customMetrics"])
+    assert any((tmp_path / "r-checkpoint").rglob("*.changelog"))
+    weekly = data.withColumn("week_no", F.floor(F.col("date") / 7)).where("week_no between -1 and 3")
+    twice = weekly.where("week_no between -1 and 0")  # weeks that came with two files
+    want = totals(weekly.unionByName(twice), "sum_click")
+    assert totals(S.latest(S.read_log(spark, log)), "clicks_week") == want
