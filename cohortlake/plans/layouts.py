@@ -4,31 +4,38 @@ from __future__ import annotations
 
 import copy
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import count_where, percent, week_of
+from ..functions.columns import count_where, percent
 from ..functions import stats as S
 from ..operators.quality import key_report
+from ..operators.relational import replicate
+from ..sources.files import write_bucketed, write_partitioned
+from ..sources.scans import run_scanned
+from .contract import CONTRACT
 from .reports import passed, risk_eval
 from .warehouse import ENROLMENT, OFFERING, Warehouse, item_facts, with_rules
 
-DERIVED = {"fact_submission": ["week_no", "days_late", "is_late", "score_missing", "is_beyond_course", "is_pass_score"], "fact_vle_daily": ["week_no", "is_pre_start"]}
+#: what follows from a fact's item or site (the offering) and from the rules of its contract
+DERIVED = {name: [*OFFERING, *CONTRACT[name].rules] for name in ("fact_submission", "fact_vle_daily")}
 
 
 def normalised(w: Warehouse) -> dict[str, DataFrame]:
-    """The facts without what can be derived."""
+    """The facts without what can be derived: no offering, which the item or the site has, and no rule's column."""
     return {name: getattr(w, name).drop(*columns) for name, columns in DERIVED.items()}
 
 
 def restored_submission(stored: DataFrame, assessment: DataFrame, presentation: DataFrame) -> DataFrame:
-    """The dropped columns again, by the rules that made them."""
-    return with_rules(stored.join(item_facts(assessment, presentation).drop(*OFFERING), "id_assessment"))
+    """The dropped columns again: the offering by the item, the others by the rules that made them."""
+    return with_rules(stored.join(item_facts(assessment, presentation), "id_assessment"))
 
 
-def restored_clicks(stored: DataFrame) -> DataFrame:
-    return stored.withColumn("week_no", week_of(F.col("date"))).withColumn("is_pre_start", F.col("date") < 0)
+def restored_clicks(stored: DataFrame, site: DataFrame) -> DataFrame:
+    """The offering by the site, the week by the day."""
+    return CONTRACT["fact_vle_daily"].derive(stored.join(site.select("id_site", *OFFERING), "id_site"))
 
 
 def wide(w: Warehouse) -> dict[str, DataFrame]:
@@ -43,6 +50,7 @@ def wide(w: Warehouse) -> dict[str, DataFrame]:
         "wide_submission": about(w.fact_submission.join(item, "id_assessment", "left")),
         "wide_clicks": about(w.fact_vle_daily.join(site, "id_site", "left")),
         "wide_student_week": about(w.fact_student_week),
+        "wide_presentation": w.dim_presentation,
     }
 
 
@@ -62,16 +70,32 @@ class Layout:
     enrolments: DataFrame  # with imd_band
 
 
+def store_layouts(w: Warehouse, path: str) -> Warehouse:
+    """The warehouse with its wide tables and partly normalised facts stored under ``path``; :func:`layout` reads those."""
+    own = copy.copy(w)
+    own.stored = {}
+    for kind, tables in {"wide": wide(w), "norm": normalised(w)}.items():
+        for name, df in tables.items():
+            if name == "wide_student_week":
+                write_partitioned(df, f"{path}/{kind}/{name}", "week_no", [*OFFERING, "id_student"])
+            else:
+                df.write.mode("overwrite").parquet(f"{path}/{kind}/{name}")
+        own.stored[kind] = {name: w.spark.read.parquet(f"{path}/{kind}/{name}") for name in tables}
+    return own
+
+
 def layout(w: Warehouse, kind: str) -> Layout:
+    """``star``, ``norm`` or ``wide``; of a warehouse with stored layouts the stored tables."""
+    stored_tables = getattr(w, "stored", {})
     if kind == "wide":
-        tables = wide(w)
+        tables = stored_tables.get("wide") or wide(w)
         own = copy.copy(w)
         own.fact_student_week = tables["wide_student_week"]
         return Layout(tables["wide_submission"], tables["wide_clicks"], own, tables["wide_enrollment"])
     submission, clicks = w.fact_submission, w.fact_vle_daily
     if kind == "norm":
-        stored = normalised(w)
-        submission, clicks = restored_submission(stored["fact_submission"], w.dim_assessment, w.dim_presentation), restored_clicks(stored["fact_vle_daily"])
+        stored = stored_tables.get("norm") or normalised(w)
+        submission, clicks = restored_submission(stored["fact_submission"], w.dim_assessment, w.dim_presentation), restored_clicks(stored["fact_vle_daily"], w.dim_vle_site)
     elif kind != "star":
         raise ValueError(f"no layout {kind}")
     own = copy.copy(w)
@@ -105,6 +129,69 @@ def bench_q18(x: Layout, presentation: str, least: int) -> DataFrame:
     return by.agg(side("0-10%").alias("rate_low"), side("90-100%").alias("rate_high"), F.round(F.abs(side("90-100%") - side("0-10%")), 6).alias("gap"))
 
 
+# ---- stored layouts ----
+
+
+def snapshot_layouts(w: Warehouse, path: str, buckets: int = 8) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """The snapshot and the enrolments, stored in four ways: plain, a directory for each week, ranged and sorted by
+    offering and student, and in buckets by enrolment. Each is (snapshot, enrolments)."""
+    week, people, spark = w.fact_student_week, w.fact_enrollment, w.spark
+    week.write.parquet(f"{path}/plain")
+    people.write.parquet(f"{path}/people")
+    write_partitioned(week, f"{path}/partitioned", "week_no", [*OFFERING, "id_student"])
+    week.repartitionByRange(buckets, *OFFERING, "id_student").sortWithinPartitions(*OFFERING, "id_student").write.parquet(f"{path}/sorted")
+    plain = spark.read.parquet(f"{path}/people")
+    out = {name: (spark.read.parquet(f"{path}/{name}"), plain) for name in ("plain", "partitioned", "sorted")}
+    tag = path.rstrip("/").rsplit("-", 1)[-1][:16]
+    return out | {"bucketed": tuple(write_bucketed(df, f"{name}_{tag}", f"{path}/bucketed_{name}", ENROLMENT, buckets) for name, df in (("week", week), ("people", people)))}
+
+
+def by_outcome(week: DataFrame, people: DataFrame, weeks: list[int], module: str) -> DataFrame:
+    """Clicks of some weeks of a module by outcome: a filter on both, and a join by enrolment."""
+    rows = week.where(F.col("week_no").isin(weeks) & (F.col("code_module") == module)).select(*ENROLMENT, "clicks_week")
+    return rows.join(people.select(*ENROLMENT, "final_result").hint("merge"), ENROLMENT).groupBy("final_result").agg(F.sum("clicks_week").alias("clicks"), F.count("*").alias("n"))
+
+
+def layout_effect(w: Warehouse, path: str, weeks: list[int], module: str) -> DataFrame:
+    """(layout, final_result, clicks, n, files_read, bytes_read, rows_read, partitions_read, shuffles_to_join): the same question
+    to each layout, what its scans read by their own metrics, and how many shuffles its join took (that of the grouping isn't counted)."""
+    rows = []
+    for name, (week, people) in snapshot_layouts(w, path).items():
+        got, seen = run_scanned(by_outcome(week, people, weeks, module))  # a row for each outcome
+        rows += [(name, r.final_result, r.clicks, r.n, seen.files, seen.bytes, seen.rows, seen.partitions, seen.exchanges - 1) for r in got]
+    return w.spark.createDataFrame(rows, "layout string, final_result string, clicks long, n long, files_read long, bytes_read long, rows_read long, partitions_read long, shuffles_to_join long")
+
+
+def scaled(w: Warehouse, factor: int, offset: int = 10_000_000) -> Warehouse:
+    """``factor`` copies of all that belongs to students, moved by ``offset`` each; items, sites and offerings stay."""
+    own = copy.copy(w)
+    for name in Warehouse.TABLES:
+        df = getattr(w, name)
+        setattr(own, name, replicate(df, factor, "id_student", offset) if "id_student" in df.columns else df)
+    return own
+
+
+def scaled_answers(w: Warehouse, factors: list[int], presentation: str) -> DataFrame:
+    """(workload, layout, factor, measure, value): answers of the workloads in whole numbers, on each layout and scale.
+
+    Counts are divided by the factor, rates are in tenths of a percent, so that all rows of a measure must be equal.
+    """
+    parts = []
+    tenths = lambda c: F.round(F.col(c) * 10).cast("long")
+    for factor in factors:
+        big = scaled(w, factor)
+        for kind in ("star", "norm", "wide"):
+            x = layout(big, kind)
+            share = (F.col("clicks") / factor).cast("long")
+            answers = {
+                "q07": bench_q07(x).select(F.explode(F.create_map(F.lit("late"), (F.col("n_late") / factor).cast("long"), F.lit("pct"), tenths("pct"))).alias("measure", "value")),
+                "q09": bench_q09(x).select(F.explode(F.create_map(F.concat(F.lit("clicks "), "activity_type"), share, F.concat(F.lit("pct "), "activity_type"), tenths("pct"))).alias("measure", "value")),
+                "q18": bench_q18(x, presentation, 20 * factor).select(F.explode(F.create_map(F.lit("low"), tenths("rate_low"), F.lit("high"), tenths("rate_high"))).alias("measure", "value")),
+            }
+            parts += [df.select(F.lit(q).alias("workload"), F.lit(kind).alias("layout"), F.lit(factor).cast("long").alias("factor"), "measure", "value") for q, df in answers.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # ---- nested timelines and documents ----
 
 _WEEK = ["week_no", "clicks_week", "clicks_cum", "avg_score_cum", "n_tma_missed_cum", "is_enrolled"]

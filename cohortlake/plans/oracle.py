@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .queries import FIRST_WEEK, ITEM, LAST_WEEK, MODULE, PRESENTATION, RISK_WEEK, RISK_WEEKS, SAMPLE_WEEK
+from .contract import ANYWHERE, CONTRACT, LINKS
+from .queries import FIRST_WEEK, ITEM, MODULE, PRESENTATION, RISK_WEEK, RISK_WEEKS, SAMPLE_WEEK
 
 
 def pct(part: str, whole: str, places: int | None = 1) -> str:
@@ -197,7 +198,49 @@ falls = lambda c: f"SELECT '{c}' AS measure_name, count(*) AS n_decreases FROM f
 scen = lambda name, cond: f"SELECT '{name}' AS scenario, * FROM ({EVAL(cond, f'week_no = {RISK_WEEK}')})"
 REST = "flag_inactive_2w + flag_missed_tma + flag_low_score"
 
+#: columns of the tables, booleans with a question mark
+COLUMNS = {
+    "dim_presentation": "code_module code_presentation year semester length_days n_weeks has_exam_result? has_weighted_tma?",
+    "dim_student": "id_student gender region highest_education imd_band disability imd_unknown?",
+    "dim_assessment": "id_assessment code_module code_presentation assessment_type deadline_raw deadline weight deadline_imputed? zero_weight? assessment_order is_first_weighted_tma? has_submissions?",
+    "dim_vle_site": "id_site code_module code_presentation activity_type week_from week_to has_planned_week? never_clicked?",
+    "dim_week": "week_no day_from day_to is_pre_start?",
+    "fact_vle_daily": "id_student code_module code_presentation id_site date week_no sum_click n_records is_pre_start?",
+    "fact_submission": "id_student id_assessment code_module code_presentation date_submitted week_no score days_late is_banked? is_late? score_missing? is_beyond_course? is_pass_score?",
+    "fact_enrollment": "id_student code_module code_presentation final_result age_band studied_credits num_of_prev_attempts date_registration date_unregistration total_clicks active_days n_submissions is_withdrawn? withdrawn_before_start? no_vle_activity? reg_date_missing? result_inconsistent? is_repeat?",
+    "fact_student_week": "id_student code_module code_presentation week_no clicks_week clicks_cum active_days_week sites_week n_submitted_cum n_late_cum avg_score_cum n_tma_missed_cum is_pre_start? is_week_inactive? is_enrolled?",
+}
+
+
+def promises(name: str) -> str:
+    """The metrics of a table's contract in SQL."""
+    table, columns = CONTRACT[name], COLUMNS[name].split()
+    out = {"rows": "count(*)"}
+    for c in (c.rstrip("?") for c in columns):
+        if table.nulls.get(c) != ANYWHERE:
+            out[f"broken null: {c}"] = f"count(*) FILTER (({c} IS NULL) <> coalesce({table.nulls.get(c, 'false')}, false))"
+    out |= {f"broken never: {x}": f"count(*) FILTER ({x})" for x in table.never}
+    out |= {f"flag {x}": f"count(*) FILTER ({x})" for x in [*(c[:-1] for c in columns if c[-1] == "?"), *table.flags]}
+    out |= {f"sum {x}": f"coalesce(sum({x}), 0)::BIGINT" for x in table.sums}
+    names = ", ".join("'" + k.replace("'", "''") + "'" for k in out)
+    first, fact = f"SELECT '{name}' AS table_name, unnest([{names}]) AS metric, unnest([{', '.join(out.values())}])::BIGINT AS n FROM {name}", ", ".join(table.keys[:-1])
+    falls = "".join(f" UNION ALL SELECT '{name}', 'broken rising: {c}', count(*) FILTER (x < y) FROM (SELECT {c} AS x, lag({c}) OVER (PARTITION BY {fact} ORDER BY {table.keys[-1]}) AS y FROM {name})" for c in table.rising)
+    return first + falls
+
+
+def relation_counts() -> str:
+    keys = " UNION ALL ".join(f"SELECT '{n}: key is unique' AS check_name, (count(*) - count(DISTINCT ({', '.join(CONTRACT[n].keys)}, 0)))::BIGINT AS n_failures FROM {n}" for n in COLUMNS)
+    links = "".join(f" UNION ALL SELECT '{c} -> {p}', count(*) FROM {c} c WHERE NOT EXISTS (SELECT 1 FROM {p} p WHERE {' AND '.join(f'p.{k} = c.{k}' for k in ks)})" for c, p, ks in LINKS)
+    weeks = f" UNION ALL SELECT 'fact_student_week: weeks of the course', count(*) FROM fact_student_week JOIN dim_presentation USING (code_module, code_presentation) WHERE week_no < {FIRST_WEEK} OR week_no >= n_weeks"
+    return keys + links + weeks + f" UNION ALL SELECT 'snapshot grid is whole', abs((SELECT count(*) FROM fact_student_week) - (SELECT sum(n_weeks - {FIRST_WEEK}) FROM fact_enrollment JOIN dim_presentation USING (code_module, code_presentation)))::BIGINT"
+
+
 _SQL: dict[str, str] = {
+    "exact_quantiles": f"SELECT code_module, code_presentation, week_no, count(*) AS n_active, {QUART.format('clicks_cum', 'clicks')}, count(avg_score_cum) AS n_scored, {QUART.format('avg_score_cum', 'score')} FROM fact_student_week WHERE is_enrolled GROUP BY ALL",
+    "layout_effect": f"SELECT layout, final_result, clicks, n, partitions_read, shuffles_to_join FROM (SELECT final_result, sum(clicks_week)::BIGINT AS clicks, count(*) AS n FROM fact_student_week JOIN fact_enrollment USING ({ENR}) WHERE week_no BETWEEN {RISK_WEEK - 1} AND {RISK_WEEK} AND code_module = '{MODULE}' GROUP BY ALL), (VALUES ('plain', 0::BIGINT, 2::BIGINT), ('partitioned', 2, 2), ('sorted', 0, 2), ('bucketed', 0, 0)) t(layout, partitions_read, shuffles_to_join)",
+    "scaled_answers": f"SELECT workload, layout, factor, measure, value FROM (SELECT 'q07' AS workload, 'late' AS measure, n_late::BIGINT AS value FROM ({LATE}) UNION ALL SELECT 'q07', 'pct', round(pct * 10)::BIGINT FROM ({LATE}) UNION ALL SELECT 'q09', 'clicks ' || activity_type, clicks FROM ({TYPE_SHARE}) UNION ALL SELECT 'q09', 'pct ' || activity_type, round(pct * 10)::BIGINT FROM ({TYPE_SHARE}) UNION ALL SELECT 'q18', 'low', round(rate_low * 10)::BIGINT FROM ({B18}) UNION ALL SELECT 'q18', 'high', round(rate_high * 10)::BIGINT FROM ({B18})), (VALUES ('star'), ('norm'), ('wide')) k(layout), (VALUES (1::BIGINT), (5)) f(factor)",
+    "bag_difference": f"SELECT * FROM (SELECT {ENR}, date, coalesce(l, 0)::BIGINT AS n_left, coalesce(r, 0)::BIGINT AS n_right FROM (SELECT {ENR}, date, sum(CASE WHEN date = 0 THEN 2 ELSE 1 END) AS l FROM fact_vle_daily GROUP BY ALL) FULL JOIN (SELECT {ENR}, date, count(*) AS r FROM student_vle WHERE id_site % 2 = 0 GROUP BY ALL) USING ({ENR}, date)) WHERE n_left <> n_right",
+    "contract_report": " UNION ALL ".join(map(promises, COLUMNS)), "contract_relations": relation_counts(),
     "typed_cast": f"SELECT event_id, try_cast(k AS BIGINT) AS k, event_type FROM ({TEXT})",
     "bad_cast_audit": f"SELECT 'event_id' AS column_name, 0::BIGINT AS n_bad UNION ALL SELECT 'k', count(*) FROM ({TEXT}) WHERE k IS NOT NULL AND try_cast(k AS BIGINT) IS NULL",
     "null_profile": null_counts("fact_submission", ["id_student", "id_assessment", "code_module", "code_presentation", "date_submitted", "week_no", "score", "days_late", "is_banked", "is_late", "score_missing", "is_beyond_course", "is_pass_score"]),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,21 +13,25 @@ from ..functions import stats as S
 from ..operators import quality as Q
 from ..operators import relational as J
 from ..sources import bridge
+from ..sources.files import cleaned, scratch, write_partitioned
 from ..streaming import weekly
+from . import contract
 from . import layouts as L
 from . import questions as A
 from . import reports as R
+from .staged import staged
 from .warehouse import ENROLMENT, OFFERING, Warehouse, missed_items
 
 MODULE, PRESENTATION = "BUILDING", "2024B"
-ITEM, FIRST_WEEK, LAST_WEEK, RISK_WEEK, SAMPLE_WEEK = 201, -1, 5, 2, 1
+ITEM, FIRST_WEEK, RISK_WEEK, SAMPLE_WEEK = 201, -1, 2, 1
 PLACE = (MODULE, PRESENTATION)
 #: batch number of the replayed log: a student's odd events come first, the rest in the second batch
 BATCHES = 2
 
 
 def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
-    return Warehouse(spark, bridge.raw_tables(spark, sf_dir), FIRST_WEEK, LAST_WEEK)
+    """The warehouse over the driver tables; its tables are written once and shared by all queries."""
+    return staged(spark, sf_dir, bridge.raw_tables, FIRST_WEEK)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,8 +65,6 @@ def _text_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _typed(df: DataFrame) -> DataFrame:
-    from ..sources.files import cleaned
-
     return df.select(*(cleaned(F.col(c)).alias(c) for c in df.columns))
 
 
@@ -151,7 +154,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cohort_quantiles": _of(R.cohort_quantiles, *PLACE),
     "quantile_manual": _of(lambda w: S.quantile_by_position(w.fact_student_week.where("is_enrolled"), [*OFFERING, "week_no"], "clicks_cum", 0.25, "p25_clicks")),
     "median_manual": _of(lambda w: S.quantile_by_position(w.fact_vle_daily, ["week_no"], "sum_click", 0.5, "median_clicks")),
-    "approx_quantiles": _of(lambda w: w.fact_vle_daily.groupBy("week_no").agg(F.approx_percentile("sum_click", [0.25, 0.5, 0.75], 1000).alias("q")).select("week_no", *(F.col("q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))))),
+    "exact_quantiles": _of(R.all_ribbons),
+    "approx_quantiles": _of(lambda w: R.approximate_quartiles(stored(w, R.click_sketches(w), "click_sketches"))),
     "average_rank": _of(R.average_ranks),
     "spearman": _of(R.spearman),
     "spearman_ci": _of(R.spearman, True),
@@ -213,7 +217,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q19": _of(A.q19, *PLACE, SAMPLE_WEEK), "q20": _of(A.q20, *PLACE, SAMPLE_WEEK, "view"),
     # layouts and models
     "normalized_submission": _of(lambda w: L.restored_submission(L.normalised(w)["fact_submission"], w.dim_assessment, w.dim_presentation)),
-    "normalized_clicks": _of(lambda w: L.restored_clicks(L.normalised(w)["fact_vle_daily"])),
+    "normalized_clicks": _of(lambda w: L.restored_clicks(L.normalised(w)["fact_vle_daily"], w.dim_vle_site)),
     **{name: _of(lambda w, n=name: L.wide(w)[n]) for name in ("wide_enrollment", "wide_submission", "wide_clicks", "wide_student_week")},
     "layout_validate": _of(lambda w: L.validate(w.fact_submission, L.wide(w)["wide_submission"], ["id_student", "id_assessment"], "wide_submission").unionByName(L.validate(w.fact_student_week, L.wide(w)["wide_student_week"], [*ENROLMENT, "week_no"], "wide_student_week"))),
     "layout_partition_pruned": _of(lambda w: stored_by_week(w).where(f"week_no in ({RISK_WEEK - 1}, {RISK_WEEK})").groupBy("week_no", *OFFERING).agg(F.sum("clicks_week").alias("clicks"))),
@@ -229,7 +233,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"bench_q09_{k}": _bench(L.bench_q09, k) for k in ("star", "norm", "wide")},
     **{f"bench_q14_{k}": _bench(L.bench_q14, k, RISK_WEEK) for k in ("star", "norm", "wide")},
     **{f"bench_q18_{k}": _bench(L.bench_q18, k, PRESENTATION, 20) for k in ("star", "norm", "wide")},
+    "layout_effect": _of(lambda w: L.layout_effect(w, scratch(w.spark, "layouts"), [RISK_WEEK - 1, RISK_WEEK], MODULE).drop("files_read", "bytes_read", "rows_read")),
+    "scaled_answers": _of(lambda w: L.scaled_answers(w, [1, 5], PRESENTATION)),
+    "bag_difference": _of(lambda w: Q.bag_difference(w.fact_vle_daily.select(*ENROLMENT, "date").unionByName(w.fact_vle_daily.where("date = 0").select(*ENROLMENT, "date")), w.raw["student_vle"].where("id_site % 2 = 0").select(*ENROLMENT, "date")).select(F.from_json("row", "id_student long, code_module string, code_presentation string, date long").alias("r"), "n_left", "n_right").select("r.*", "n_left", "n_right")),
     # quality
+    "contract_report": _of(lambda w: contract.contract_report(w.tables())),
+    "contract_relations": _of(lambda w: contract.relations(w.tables(), FIRST_WEEK)),
     "pk_unique": _raw(lambda s, d: Q.key_report(table(s, d, "customer"), ["c_custkey"], "customer").unionByName(Q.key_report(table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"], "lineitem")).unionByName(Q.key_report(warehouse(s, d).fact_student_week, [*ENROLMENT, "week_no"], "fact_student_week"))),
     "fk_orphans": _raw(lambda s, d: Q.orphans(table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")), table(s, d, "lineitem"), ["l_orderkey"], "orders without lines").unionByName(Q.orphans(warehouse(s, d).fact_vle_daily, warehouse(s, d).fact_enrollment, ENROLMENT, "clicks without enrolment"))),
     "flag_counts": _of(lambda w: Q.flag_counts(_flags(w))),
@@ -245,10 +254,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+def stored(w: Warehouse, df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a stored table."""
+    path = scratch(w.spark, name)
+    df.write.parquet(path)
+    return w.spark.read.parquet(path)
+
+
 def stored_by_week(w: Warehouse) -> DataFrame:
     """The snapshot as a stored table with a directory for each week; a filter on weeks reads those alone."""
-    from ..sources.files import scratch, write_partitioned
-
     path = scratch(w.spark, "student_week")
     write_partitioned(w.fact_student_week, path, "week_no", [*OFFERING, "id_student"])
     return w.spark.read.parquet(path)
@@ -256,8 +270,6 @@ def stored_by_week(w: Warehouse) -> DataFrame:
 
 def only_sample(w: Warehouse) -> Warehouse:
     """The warehouse with the snapshot of the sample offering alone."""
-    import copy
-
     own = copy.copy(w)
     own.fact_student_week = R.at(w.fact_student_week, *PLACE)
     return own

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..functions.columns import PASSED, UNSUCCESSFUL, count_where, enrolled_at, half_up, last_day, offering_label, percent, percentile_band, risk_level, week_of
+from ..operators import sketches
+from ..operators.ranking import exact_quantiles, with_average_rank, with_percent_rank
 from ..operators.relational import latest_by_key, period_grid, previous_value
 from .warehouse import ENROLMENT, OFFERING, Warehouse
 
@@ -156,7 +158,7 @@ def weekly_activity(w: Warehouse) -> DataFrame:
     by = Window.partitionBy(*OFFERING)
     weeks = weeks.withColumn("average_rank", F.rank().over(by.orderBy(F.col("clicks_per_student").desc_nulls_last()))).withColumn("total_rank", F.rank().over(by.orderBy(F.col("week_clicks").desc())))
     types = w.dim_vle_site.select("activity_type").where("activity_type is not null").distinct()
-    grid = weeks.crossJoin(F.broadcast(types)).join(typed, [*OFFERING, "week_no", "activity_type"], "left").fillna(0, ["activity_clicks"])
+    grid = weeks.crossJoin(types).join(typed, [*OFFERING, "week_no", "activity_type"], "left").fillna(0, ["activity_clicks"])
     clicks = F.col("activity_clicks").cast("double")
     return grid.select(
         *OFFERING, "week_no", "activity_type", (week * 7).alias("week_start_day"), last_day(week).alias("week_end_day"), "enrolled_students", "week_clicks", "clicks_per_student", "activity_clicks",
@@ -211,14 +213,14 @@ def student_pairs(w: Warehouse) -> DataFrame:
 
 
 def spearman_pairs(w: Warehouse) -> DataFrame:
-    """The pairs with n and rho of their offering on each row."""
-    by = Window.partitionBy(*OFFERING)
-    ranked = student_pairs(w).withColumn("rx", S.average_rank("clicks_before", OFFERING)).withColumn("ry", S.average_rank("score", OFFERING))
-    return ranked.select(*ENROLMENT, "clicks_before", "score", F.count("*").over(by).alias("n"), F.corr("rx", "ry").over(by).alias("rho"))
+    """The pairs with n and rho of their offering on each row: grouped, a row for each offering, and joined."""
+    pairs = student_pairs(w)
+    return pairs.join(S.spearman(pairs, "clicks_before", "score", OFFERING).drop("ci_low", "ci_high"), OFFERING).select(*ENROLMENT, "clicks_before", "score", "n", "rho")
 
 
 def average_ranks(w: Warehouse) -> DataFrame:
-    return student_pairs(w).select(*ENROLMENT, S.average_rank("clicks_before", OFFERING).alias("clicks_rank"), S.average_rank("score", OFFERING).alias("score_rank"))
+    ranked = with_average_rank(with_average_rank(student_pairs(w), OFFERING, "clicks_before", "clicks_rank"), OFFERING, "score", "score_rank")
+    return ranked.select(*ENROLMENT, "clicks_rank", "score_rank")
 
 
 def spearman(w: Warehouse, with_interval: bool = False) -> DataFrame:
@@ -393,6 +395,23 @@ def cohort_quantiles(w: Warehouse, module: str, presentation: str) -> DataFrame:
     return rows.groupBy("week_no").agg(F.count("*").alias("n_active"), *S.quartiles("clicks_cum", ["q25_clicks", "median_clicks", "q75_clicks"]), *S.quartiles("avg_score_cum", ["q25_score", "median_score", "q75_score"]))
 
 
+def all_ribbons(w: Warehouse) -> DataFrame:
+    """The quartiles of clicks and of scores of every offering and week, in bounded memory."""
+    rows, keys = w.fact_student_week.where("is_enrolled"), [*OFFERING, "week_no"]
+    own = lambda x, name: exact_quantiles(rows, keys, x, {f"q25_{name}": 0.25, f"median_{name}": 0.5, f"q75_{name}": 0.75})
+    return own("clicks_cum", "clicks").withColumnRenamed("n", "n_active").join(own("avg_score_cum", "score").withColumnRenamed("n", "n_scored"), keys, "left").fillna(0, ["n_scored"])
+
+
+def click_sketches(w: Warehouse) -> DataFrame:
+    """Sketches of daily clicks by offering and week, to be stored."""
+    return sketches.sketch(w.fact_vle_daily, [*OFFERING, "week_no"], "sum_click")
+
+
+def approximate_quartiles(stored: DataFrame) -> DataFrame:
+    """School quartiles of daily clicks by week, from stored sketches alone."""
+    return sketches.quantiles(sketches.merged(stored, ["week_no"]), ["week_no"], {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+
+
 def timeline(w: Warehouse, module: str, presentation: str, id_student: int) -> DataFrame:
     rows = at(w.fact_student_week, module, presentation).where(F.col("id_student") == id_student)
     return rows.select("week_no", "clicks_week", "clicks_cum", "avg_score_cum", "n_tma_missed_cum", "is_enrolled")
@@ -419,8 +438,9 @@ def students_in_week(w: Warehouse, module: str, presentation: str, week: int) ->
 def percent_ranks(w: Warehouse, week: int) -> DataFrame:
     """Percent ranks of clicks and scores within each offering in a week; a missing score has no rank."""
     rows = w.fact_student_week.where((F.col("week_no") == week) & F.col("is_enrolled"))
-    clicks = S.percent_rank_of("clicks_cum", OFFERING)
-    return rows.select(*ENROLMENT, "clicks_cum", clicks.alias("clicks_percentile"), percentile_band(clicks).alias("clicks_band"), "avg_score_cum", S.percent_rank_of("avg_score_cum", OFFERING).alias("score_percentile"))
+    rows = with_percent_rank(rows.select(*ENROLMENT, "clicks_cum", "avg_score_cum"), OFFERING, "clicks_cum", "clicks_percentile")
+    rows = with_percent_rank(rows, OFFERING, "avg_score_cum", "score_percentile")
+    return rows.withColumn("clicks_band", percentile_band(F.col("clicks_percentile")))
 
 
 def _week_type_clicks(w: Warehouse, module: str, presentation: str, week: int) -> DataFrame:
@@ -440,7 +460,7 @@ def activity_grid(w: Warehouse, module: str, presentation: str, week: int) -> Da
     """Every passing student x activity type of the offering, zeros filled in."""
     types = at(w.dim_vle_site, module, presentation).select("activity_type").distinct()
     group = at(w.fact_enrollment, module, presentation).where(passed()).select("id_student")
-    return group.crossJoin(F.broadcast(types)).join(_week_type_clicks(w, module, presentation, week), ["id_student", "activity_type"], "left").fillna(0, ["clicks"])
+    return group.crossJoin(types).join(_week_type_clicks(w, module, presentation, week), ["id_student", "activity_type"], "left").fillna(0, ["clicks"])
 
 
 def student_vs_pass(w: Warehouse, module: str, presentation: str, week: int, id_student: int, least: int = 30) -> DataFrame:

@@ -7,10 +7,14 @@ from cohortlake.operators import quality as Q
 from cohortlake.operators import relational as J
 from cohortlake.plans import layouts as L
 from cohortlake.plans import reports as R
-from cohortlake.plans.pipeline import Pipeline, gate
+from cohortlake.plans import contract
+from cohortlake.plans.contract import CONTRACT
+from cohortlake.plans.pipeline import MARTS, RAW, NotReadyError, Pipeline, gate
 from cohortlake.plans.registry import REPORTS, run_report
+from cohortlake.plans.staged import StagedTables, StagedWarehouse
 from cohortlake.plans.warehouse import Warehouse, fact_student_week, fact_submission
 from cohortlake.sources import bridge, files
+from cohortlake.sources.versions import Versions
 
 
 def rows(df):
@@ -61,11 +65,28 @@ def test_snapshot(spark):
     assert [got[9, w].is_enrolled for w in (-1, 0, 1, 2)] == [True, True, False, False]
 
 
-def test_gate_catches_planted_faults(spark, sf_dir):
-    w = Warehouse(spark, bridge.raw_tables(spark, sf_dir))
-    week = w.fact_student_week.persist()
-    tables = w.tables() | {"fact_student_week": week}
-    assert rows(gate(tables, -1).report(spark).where("n_failures > 0")) == []
+@pytest.fixture(scope="module")
+def raw(spark, sf_dir, tmp_path_factory):
+    return StagedTables(spark, bridge.raw_tables(spark, sf_dir), str(tmp_path_factory.mktemp("raw") / "t"))
+
+
+@pytest.fixture(scope="module")
+def staged_w(spark, raw, tmp_path_factory):
+    return StagedWarehouse(spark, raw, str(tmp_path_factory.mktemp("staged")), -1)
+
+
+@pytest.fixture(scope="module")
+def done(spark, raw, tmp_path_factory):
+    """A pipeline that has run, and its rows."""
+    out = Pipeline(spark, raw, str(tmp_path_factory.mktemp("out")))
+    return out, out.run()
+
+
+def test_gate_catches_planted_faults(spark, raw, tmp_path):
+    w = StagedWarehouse(spark, raw, f"{tmp_path}/w", -1)
+    week, metrics = w.fact_student_week, {name: contract.measured(name, df) for name, df in w.tables().items()}
+    run = lambda week: gate(w.tables() | {"fact_student_week": week}, -1, metrics | {"fact_student_week": contract.measured("fact_student_week", week)})
+    assert rows(run(week).report(spark).where("n_failures > 0")) == []
     one = week.where("week_no = 0").limit(1)
     faults = {
         "fact_student_week: key is unique": week.unionByName(one),
@@ -73,26 +94,28 @@ def test_gate_catches_planted_faults(spark, sf_dir):
         "running totals never fall": week.withColumn("clicks_cum", F.when(F.col("week_no") == 2, -1).otherwise(F.col("clicks_cum"))),
         "clicks are conserved": week.withColumn("clicks_week", F.col("clicks_week") + 1),
         "fact_student_week -> fact_enrollment": week.unionByName(one.withColumn("id_student", F.lit(-5).cast("long"))),
+        "fact_student_week: weeks of the course": week.withColumn("week_no", F.when(F.col("week_no") == 2, 77).otherwise(F.col("week_no"))),
     }
     for name, broken in faults.items():
-        found = {r.check_name for r in gate(tables | {"fact_student_week": broken}, -1).report(spark).where("n_failures > 0").collect()}
+        found = {r.check_name for r in run(broken).report(spark).where("n_failures > 0").collect()}
         assert name in found
     with pytest.raises(Q.GateError):
-        gate(tables | {"fact_student_week": week.unionByName(one)}, -1).enforce(spark)
+        run(week.unionByName(one)).enforce(spark)
     with pytest.raises(Q.GateError):
-        gate(tables | {"fact_student_week": week.withColumn("final_result", F.lit("Pass"))}, -1)
-    week.unpersist()
+        gate(w.tables() | {"fact_student_week": week.withColumn("final_result", F.lit("Pass"))}, -1)
 
 
-def test_pipeline_publishes_and_repeats(spark, sf_dir, tmp_path):
-    out = Pipeline(spark, bridge.raw_tables(spark, sf_dir), str(tmp_path))
-    first = out.run()
+def test_pipeline_publishes_and_repeats(spark, raw, done):
+    out, first = done
     assert out.run() == first and first["fact_student_week"] > 0
+    assert out.versions.remove_old() and len(out.versions._names("versions")) == 1
     w = out.published()
-    assert Q.fingerprint(w.fact_student_week.select(sorted(w.fact_student_week.columns))).first() == Q.fingerprint(Warehouse(spark, bridge.raw_tables(spark, sf_dir)).fact_student_week).first()
+    assert Q.fingerprint(w.fact_student_week.select(sorted(w.fact_student_week.columns))).first() == Q.fingerprint(Warehouse(spark, raw).fact_student_week).first()
     pruned = w.fact_student_week.where("week_no = 1")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(week_no" in pruned
-    assert spark.read.parquet(f"{tmp_path}/published/mart_weekly_activity").where("mart_created_at is null").count() == 0
+    mart = out.versions.read("mart_weekly_activity")
+    assert mart.where("mart_created_at is null").count() == 0 < mart.count()
+    assert {r.table_name: r.ok for r in files.read_report(spark, f"{out.out}/report").collect()} == dict.fromkeys([*Warehouse.TABLES, *MARTS], True)
 
 
 def test_fingerprint_and_differences(spark):
@@ -120,8 +143,8 @@ def test_typed_csv(spark, tmp_path):
     assert files.jdbc_options("jdbc:x", "t", "id")["partitionColumn"] == "id" and files.kafka_options("h:1", "t")["subscribe"] == "t"
 
 
-def test_reports_refuse_wrong_parameters(spark, sf_dir):
-    w = Warehouse(spark, bridge.raw_tables(spark, sf_dir))
+def test_reports_refuse_wrong_parameters(spark, sf_dir, staged_w):
+    w = staged_w
     assert {"risk_flags", "overview", "q05"} <= set(REPORTS)
     for given in ({}, {"week": 2, "wek": 3}):
         with pytest.raises(ValueError):
@@ -131,13 +154,13 @@ def test_reports_refuse_wrong_parameters(spark, sf_dir):
     assert run_report(w, "risk_flags", week=2).count() > 0
 
 
-def test_outcomes_do_not_reach_the_list(spark, sf_dir):
-    got = R.label_flip(Warehouse(spark, bridge.raw_tables(spark, sf_dir)), 2).first()
+def test_outcomes_do_not_reach_the_list(spark, sf_dir, staged_w):
+    got = R.label_flip(staged_w, 2).first()
     assert got.n_before == got.n_after == got.n_same > 0 and got.precision_before != got.precision_after
 
 
-def test_documents_round_trip(spark, sf_dir):
-    w = Warehouse(spark, bridge.raw_tables(spark, sf_dir))
+def test_documents_round_trip(spark, sf_dir, staged_w):
+    w = staged_w
     flat = L.unnest(L.nested_timeline(w))
     assert Q.fingerprint(flat).first() == Q.fingerprint(L.document_rows(L.documents(w))).first()
 
@@ -158,10 +181,10 @@ def test_weeks_come_from_the_tables(spark):
     assert dim_week(clicks.where("date > 99"), length).count() == 3
 
 
-def test_missed_items_are_the_changes_added_up(spark, sf_dir):
+def test_missed_items_are_the_changes_added_up(spark, sf_dir, staged_w):
     from cohortlake.plans.warehouse import WEEKLY, missed_items
 
-    w = Warehouse(spark, bridge.raw_tables(spark, sf_dir))
+    w = staged_w
     listed = missed_items(w.fact_enrollment, w.dim_presentation, w.dim_assessment, w.fact_submission, -1).select(*WEEKLY, "n_tma_missed_cum")
     added = w.fact_student_week.where("n_tma_missed_cum <> 0").select(*WEEKLY, "n_tma_missed_cum")
     assert rows(listed) == rows(added) and added.count() > 0
@@ -182,3 +205,139 @@ def test_effect_of_stored_layouts(spark, tmp_path):
     assert got["plain"].n_rows == got["weeks"].n_rows == 500
     assert got["plain"].files_hit == got["plain"].n_files > 1 and got["plain"].bytes_hit == got["plain"].n_bytes
     assert got["weeks"].bytes_hit < got["weeks"].n_bytes / 4 and got["weeks"].files_hit < got["weeks"].n_files
+
+
+def test_pipeline_refuses_planted_faults_and_keeps_the_former_version(spark, raw, done):
+    """A null, a value out of range, lost submissions, a key twice and a count that isn't as expected, all told at once."""
+    good, rows_ = done
+    before = good.versions.current()
+    faults = {
+        **raw,
+        "student_vle": raw["student_vle"].withColumn("sum_click", F.when(F.col("id_student") % 5 != 0, F.col("sum_click"))),
+        "student_assessment": raw["student_assessment"].withColumn("score", F.col("score") + 1000),
+        "assessments": raw["assessments"].where("id_assessment % 100 <> 1"),
+        "student_info": raw["student_info"].withColumn("gender", F.col("code_presentation")),
+    }
+    with pytest.raises(Q.GateError) as e:
+        Pipeline(spark, faults, good.out, expected={("fact_submission", "flag is_late"): 1_000_007}).run()
+    found = str(e.value)
+    for name in ("fact_vle_daily: null: sum_click", "fact_submission: never: score < 0 or score > 100", "every submission is kept", "dim_student: key is unique", "fact_submission: flag is_late is 1000007"):
+        assert name in found, found
+    assert good.versions.current() == before and good.published().fact_student_week.count() == rows_["fact_student_week"]
+    assert {r.table_name: r.ok for r in files.read_report(spark, f"{good.out}/report").collect()}["fact_submission"] is False
+
+
+def test_a_failure_between_two_tables_leaves_the_former_version(spark, raw, done, monkeypatch):
+    out, rows_ = done
+    before, write, there = out.versions.current(), contract.write_measured, len(out.versions._names("versions"))
+
+    def breaks(name, *args):
+        if name == "dim_assessment":
+            raise OSError("disk full")
+        return write(name, *args)
+
+    monkeypatch.setattr(contract, "write_measured", breaks)
+    with pytest.raises(OSError):
+        out.run()
+    assert out.versions.current() == before and len(out.versions._names("versions")) == there + 1
+    assert out.published().fact_enrollment.count() == rows_["fact_enrollment"]
+    gone = out.versions.remove_old()
+    assert gone and not any(g in before for g in gone) and out.published().dim_week.count() > 0
+
+
+def test_versions(spark, tmp_path):
+    v = Versions(spark, f"{tmp_path}/v")
+    with pytest.raises(FileNotFoundError):
+        v.current()
+    folders = [v.new() for _ in range(3)]
+    with pytest.raises(FileNotFoundError):
+        v.publish(folders[0])
+    for i, f in enumerate(folders):
+        spark.range(i + 1).write.parquet(f"{f}/t")
+        v.publish(f)
+        assert v.read("t").count() == i + 1
+    assert v.back() == folders[1] and v.read("t").count() == 2
+    assert sorted(f"{tmp_path}/v/versions/{n}" for n in v.remove_old()) == sorted([folders[0], folders[2]]) and v.read("t").count() == 2
+
+
+def test_inputs_are_checked_first(spark, raw, tmp_path):
+    (tmp_path / "empty.csv").write_text("")
+    with pytest.raises(NotReadyError, match="vle: absent or empty"):
+        Pipeline(spark, raw, f"{tmp_path}/out", inputs={"vle": f"{tmp_path}/empty.csv"}).run()
+    with pytest.raises(NotReadyError, match="courses: not given; student_vle: no date"):
+        Pipeline(spark, {**{n: raw[n] for n in RAW if n != "courses"}, "student_vle": raw["student_vle"].drop("date")}, f"{tmp_path}/out").run()
+    assert not (tmp_path / "out").exists()
+
+
+def test_weeks_before_the_first_are_kept(spark, raw, tmp_path):
+    """Clicks in week -4 move the start of the grid."""
+    early = raw["student_vle"].where("id_student % 2 = 0").withColumn("date", F.lit(-22))
+    out = Pipeline(spark, {**raw, "student_vle": raw["student_vle"].unionByName(early)}, str(tmp_path))
+    out.run()
+    w = out.published()
+    assert w.first_week == -4 and w.fact_student_week.agg(F.min("week_no")).first()[0] == -4
+    assert w.fact_student_week.agg(F.sum("clicks_week")).first()[0] == w.fact_vle_daily.agg(F.sum("sum_click")).first()[0]
+
+
+def test_each_table_is_read_once_by_the_gate(done):
+    w = done[0].published()
+    plan = contract.relations(w.tables(), w.first_week)._jdf.queryExecution().optimizedPlan().toString()
+    for name in Warehouse.TABLES:
+        reads = plan.count("Relation [" + w.tables()[name].columns[0])
+        assert reads <= 3, (name, reads)
+    assert plan.count("Relation [") <= len(Warehouse.TABLES) + 4  # the weeks and the size of the grid read dimensions again
+
+
+def test_metrics_are_the_same_observed_and_measured(spark, raw, tmp_path):
+    w = Warehouse(spark, raw, -1)
+    for name, by in (("dim_assessment", None), ("fact_student_week", ("week_no", ["id_student"]))):
+        df = getattr(w, name)
+        got = contract.write_measured(name, df, f"{tmp_path}/{name}", by)
+        assert got == contract.measured(name, df) and got["rows"] > 0
+        assert spark.read.parquet(f"{tmp_path}/{name}").count() == got["rows"]
+    empty = w.fact_student_week.where("week_no > 99")
+    assert set(contract.write_measured("fact_student_week", empty, f"{tmp_path}/none").values()) == {0}
+    assert set(CONTRACT) >= set(Warehouse.TABLES)
+
+
+def test_bag_difference_counts_copies(spark):
+    a = spark.createDataFrame([(1, 0.1, "x"), (1, 0.1, "x"), (2, None, "y"), (3, 1.0, None)], "k int, x double, t string")
+    same = a.select("t", "k", (F.col("x") + 1e-12).alias("x"))
+    assert Q.bag_difference(a, same).count() == 0
+    other = spark.createDataFrame([(1, 0.1, "x"), (2, None, "y"), (2, None, "y"), (3, 1.0, "null"), (4, 2.0, "z")], "k int, x double, t string")
+    got = sorted(map(tuple, Q.bag_difference(a, other).collect()))
+    assert got == sorted([('{"k":1,"t":"x","x":0.1}', 2, 1), ('{"k":2,"t":"y","x":null}', 1, 2), ('{"k":3,"t":null,"x":1.0}', 1, 0), ('{"k":3,"t":"null","x":1.0}', 0, 1), ('{"k":4,"t":"z","x":2.0}', 0, 1)])
+    with pytest.raises(ValueError):
+        Q.bag_difference(a, a.drop("t"))
+
+
+def test_scans_tell_what_was_read(spark, tmp_path):
+    from cohortlake.sources.scans import run_scanned
+
+    rows = spark.range(8000).select("id", (F.col("id") % 8).cast("int").alias("week_no"))
+    files.write_partitioned(rows, f"{tmp_path}/weeks", "week_no", ["id"])
+    stored = spark.read.parquet(f"{tmp_path}/weeks")
+    got, one = run_scanned(stored.where("week_no = 3").agg(F.count("*").alias("n")))
+    whole = run_scanned(stored.agg(F.sum("id")))[1]
+    assert got[0].n == one.rows == 1000 and one.partitions == 1 and whole.partitions == 8
+    assert 0 < one.files < whole.files and 0 < one.bytes < whole.bytes and one.scans == 1
+    a, b = (files.write_bucketed(rows, f"bucketed_{x}_{tmp_path.name}", f"{tmp_path}/{x}", ["id"], 4) for x in "ab")
+    joined = run_scanned(a.join(b.select("id", F.lit(1).alias("x")).hint("merge"), "id").groupBy().agg(F.count("*").alias("n")))
+    assert joined[0][0].n == 8000 and joined[1].exchanges == 1  # of the count alone
+
+
+def test_staged_tables_are_written_once(spark, sf_dir, tmp_path):
+    import copy
+
+    from cohortlake.plans import staged
+
+    raw = bridge.raw_tables(spark, sf_dir)
+    w = staged.StagedWarehouse(spark, raw, str(tmp_path / "w"), -1)
+    other = copy.copy(w)
+    assert rows(other.fact_submission) == rows(w.fact_submission) == rows(Warehouse(spark, raw, -1).fact_submission)
+    assert {p.name for p in (tmp_path / "w").iterdir()} == {"raw", "dim_assessment", "dim_presentation", "fact_submission"}
+    assert {p.name for p in (tmp_path / "w" / "raw").iterdir()} == {"assessments", "courses", "student_assessment"}
+    plan = w.fact_student_week._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+    first = staged.staged(spark, sf_dir, bridge.raw_tables, -1)
+    assert first is staged.staged(spark, sf_dir, bridge.raw_tables, -1) is not staged.staged(spark, sf_dir, bridge.raw_tables, -2)
