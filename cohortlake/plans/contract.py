@@ -126,6 +126,14 @@ def measured_raw(name: str, df: DataFrame) -> Metrics:
     return dict(zip(["rows", *(f"sum {c}" for c in sums)], got))
 
 
+def write_raw(name: str, df: DataFrame, path: str) -> Metrics:
+    """Overwrites a staging table; its rows and sums are observed as it is written."""
+    seen, sums = Observation(), RAW_SUMS.get(name, ())
+    df.observe(seen, F.count("*").alias("rows"), *(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(f"sum {c}") for c in sums)).write.mode("overwrite").parquet(path)
+    got = seen.get
+    return {k: got.get(k) or 0 for k in ["rows", *(f"sum {c}" for c in sums)]}
+
+
 def _with_falls(name: str, df: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
     """The frame with a mark for each running total that falls, and all metrics. The window is that of the running totals."""
     table = CONTRACT[name]

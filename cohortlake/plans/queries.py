@@ -13,7 +13,7 @@ from ..functions import stats as S
 from ..operators import quality as Q
 from ..operators import relational as J
 from ..sources import bridge
-from ..sources.files import cleaned, scratch, write_partitioned
+from ..sources.files import cleaned, scratch, write_partitioned, written
 from ..streaming import weekly
 from . import contract
 from . import layouts as L
@@ -155,7 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "quantile_manual": _of(lambda w: S.quantile_by_position(w.fact_student_week.where("is_enrolled"), [*OFFERING, "week_no"], "clicks_cum", 0.25, "p25_clicks")),
     "median_manual": _of(lambda w: S.quantile_by_position(w.fact_vle_daily, ["week_no"], "sum_click", 0.5, "median_clicks")),
     "exact_quantiles": _of(R.all_ribbons),
-    "approx_quantiles": _of(lambda w: R.approximate_quartiles(stored(w, R.click_sketches(w), "click_sketches"))),
+    "approx_quantiles": _of(lambda w: R.approximate_quartiles(written(R.click_sketches(w), "click_sketches"))),
     "average_rank": _of(R.average_ranks),
     "spearman": _of(R.spearman),
     "spearman_ci": _of(R.spearman, True),
@@ -254,13 +254,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-def stored(w: Warehouse, df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a stored table."""
-    path = scratch(w.spark, name)
-    df.write.parquet(path)
-    return w.spark.read.parquet(path)
-
-
 def stored_by_week(w: Warehouse) -> DataFrame:
     """The snapshot as a stored table with a directory for each week; a filter on weeks reads those alone."""
     path = scratch(w.spark, "student_week")

@@ -12,6 +12,7 @@ from ..functions.columns import PASSED, UNSUCCESSFUL, count_where, enrolled_at,
 from ..operators import sketches
 from ..operators.ranking import exact_quantiles, with_average_rank, with_percent_rank
 from ..operators.relational import latest_by_key, period_grid, previous_value
+from ..sources.files import written
 from .warehouse import ENROLMENT, OFFERING, Warehouse
 
 passed = lambda: F.col("final_result").isin(*PASSED)
@@ -205,7 +206,10 @@ def offering_week_type(w: Warehouse, module: str, presentation: str) -> DataFram
 
 
 def student_pairs(w: Warehouse) -> DataFrame:
-    """Score of the first weighted TMA and clicks strictly before its deadline; students without clicks stay in."""
+    """Score of the first weighted TMA and clicks strictly before its deadline; students without clicks stay in.
+
+    Ranking reads the pairs several times, so the reports below write them first.
+    """
     first = w.dim_assessment.where("is_first_weighted_tma").select("id_assessment", "deadline")
     scored = w.fact_submission.where("score is not null and not is_banked").join(first, "id_assessment").select(*ENROLMENT, "deadline", "score")
     clicks = w.fact_vle_daily.join(scored.select(*ENROLMENT, "deadline"), ENROLMENT).where("date < deadline").groupBy(*ENROLMENT).agg(F.sum("sum_click").alias("clicks_before"))
@@ -214,17 +218,17 @@ def student_pairs(w: Warehouse) -> DataFrame:
 
 def spearman_pairs(w: Warehouse) -> DataFrame:
     """The pairs with n and rho of their offering on each row: grouped, a row for each offering, and joined."""
-    pairs = student_pairs(w)
+    pairs = written(student_pairs(w), "pairs")
     return pairs.join(S.spearman(pairs, "clicks_before", "score", OFFERING).drop("ci_low", "ci_high"), OFFERING).select(*ENROLMENT, "clicks_before", "score", "n", "rho")
 
 
 def average_ranks(w: Warehouse) -> DataFrame:
-    ranked = with_average_rank(with_average_rank(student_pairs(w), OFFERING, "clicks_before", "clicks_rank"), OFFERING, "score", "score_rank")
+    ranked = with_average_rank(with_average_rank(written(student_pairs(w), "pairs"), OFFERING, "clicks_before", "clicks_rank"), OFFERING, "score", "score_rank")
     return ranked.select(*ENROLMENT, "clicks_rank", "score_rank")
 
 
 def spearman(w: Warehouse, with_interval: bool = False) -> DataFrame:
-    got = S.spearman(student_pairs(w), "clicks_before", "score", OFFERING)
+    got = S.spearman(written(student_pairs(w), "pairs"), "clicks_before", "score", OFFERING)
     return got if with_interval else got.drop("ci_low", "ci_high")
 
 

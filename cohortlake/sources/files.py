@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
@@ -53,9 +53,15 @@ def missing_inputs(spark: SparkSession, paths: dict[str, str]) -> list[str]:
 
 
 def write_table(df: DataFrame, path: str, expected: int | None = None) -> int:
-    """Overwrites the table, counts what was written, and fails if it is not what was expected."""
-    df.write.mode("overwrite").parquet(path)
-    n = df.sparkSession.read.parquet(path).count()
+    """Overwrites the table, counts its rows as they are written, and fails if they are not as many as expected.
+
+    Tasks that ran again after a loss are observed twice, so a count that differs is taken again from the table.
+    """
+    seen = Observation()
+    df.observe(seen, F.count("*").alias("n")).write.mode("overwrite").parquet(path)
+    n = seen.get.get("n") or 0
+    if expected is not None and n != expected:
+        n = df.sparkSession.read.parquet(path).count()
     if expected is not None and n != expected:
         raise ValueError(f"{path}: {n} rows, expected {expected}")
     return n
@@ -84,6 +90,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the scratch folder: for what a plan would otherwise compute several times."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append_report(spark: SparkSession, path: str, rows: list[tuple[str, int, int | None, float]]) -> None:
     """Appends (table, rows, expected, seconds) of a run."""
     got = spark.createDataFrame(rows, "table_name string, n_rows long, n_expected long, seconds double")

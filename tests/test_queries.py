@@ -67,7 +67,7 @@ def test_sketches_are_read_without_the_facts(spark, shared, sf_dir):
     from cohortlake.operators import sketches
     from cohortlake.plans import reports as R
 
-    stored = queries.stored(shared, R.click_sketches(shared), "sketches")
+    stored = queries.written(R.click_sketches(shared), "sketches")
     got = R.approximate_quartiles(stored)
     assert "sum_click" not in got._jdf.queryExecution().optimizedPlan().toString()
     values = {}

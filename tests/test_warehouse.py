@@ -115,7 +115,7 @@ def test_pipeline_publishes_and_repeats(spark, raw, done):
     assert "PartitionFilters: [isnotnull(week_no" in pruned
     mart = out.versions.read("mart_weekly_activity")
     assert mart.where("mart_created_at is null").count() == 0 < mart.count()
-    assert {r.table_name: r.ok for r in files.read_report(spark, f"{out.out}/report").collect()} == dict.fromkeys([*Warehouse.TABLES, *MARTS], True)
+    assert {r.table_name: r.ok for r in files.read_report(spark, f"{out.out}/report").collect()} == dict.fromkeys([*RAW, *Warehouse.TABLES, *MARTS], True)
 
 
 def test_fingerprint_and_differences(spark):
@@ -338,3 +338,13 @@ def test_staged_tables_are_written_once(spark, sf_dir, tmp_path):
     assert plan.count("Relation [") == 1
     first = staged.staged(spark, sf_dir, bridge.raw_tables, -1)
     assert first is staged.staged(spark, sf_dir, bridge.raw_tables, -1) is not staged.staged(spark, sf_dir, bridge.raw_tables, -2)
+
+
+def test_published_tables_are_loaded_into_a_row_store(spark, done, tmp_path):
+    from cohortlake.sources.rowstore import RowStore
+
+    out, rows_ = done
+    store = RowStore(spark, f"jdbc:derby:memory:{tmp_path.name};create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    assert out.load(store) == rows_
+    same = Q.reconcile_counts({n: df.select(df.columns[0]) for n, df in out.published().tables().items()}, {n: store.read(n) for n in rows_})
+    assert same.where("not is_equal").count() == 0 < same.count()
