@@ -10,6 +10,11 @@ A class, id or role made up of side names and words of layout alone (``cookie-no
 side name beside other words (``social-history``), a name that may also be a topic (``legal``, ``share``), and hidden elements
 weigh little: length, links and the blocks around decide. Fallback text (noscript, object, iframe) is text like any other.
 
+An element that its tag or name makes a side part is a wrapper all the same if it holds an article or main element and half
+of the page's text, or if nearly all of the text is in it, in paragraphs, and nothing outside looks like content (a page within one
+form, ``class="widget-container"``): it then weighs nothing. What was written by readers is never a wrapper of that second kind.
+Paragraphs of some length in an article's own header belong to it.
+
 Nulls and edges: a null, empty or text-free page gives an empty text; null ids and urls are kept; repeated rows are
 extracted each; other columns are ignored; unclosed and misnested tags are closed by their parents; an empty table gives
 no rows. A page's memory follows its own length.
@@ -41,6 +46,7 @@ SIDE_NAMES = frozenset(
 TOPIC_NAMES = frozenset("alert disclaimer discussion gdpr legal promotion related reply search share sharing social".split())
 LAYOUT_NAMES = frozenset("area bar bottom box btn button buttons card col column container desktop fixed global group header inner items left links list main mobile module open outer page panel right row section site slot sticky top unit wrap wrapper".split())
 HEAD_NAMES = frozenset("header masthead topbar".split())
+READER_NAMES = frozenset("comment comments discussion replies reply respond".split())
 MAIN_NAMES = frozenset("article body content entry main post story text".split())
 RAW = "script|style|title|textarea|template|svg|canvas|select"
 
@@ -60,6 +66,20 @@ class TextBlock:
     #: numbers of the parent element and of the container around it
     parent: int
     container: int
+    #: numbers of the elements around it that are side parts, or perhaps, by tag or name
+    sides: tuple[int, ...] = ()
+
+
+@dataclass
+class SidePart:
+    """An element that looks like a side part (SIDE) or perhaps one (HINT): may it be a wrapper, does it hold an article, and
+    what text is in it."""
+
+    flag: int
+    can_wrap: bool
+    holds_article: bool = False
+    size: int = 0
+    paragraphs: int = 0
 
 
 def _flags(tag: str, attributes: str) -> int:
@@ -86,7 +106,9 @@ def _flags(tag: str, attributes: str) -> int:
 def text_blocks(page: str) -> list[TextBlock]:
     """The text blocks of a page in order, character references decoded and white space made single."""
     out: list[TextBlock] = []
-    stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # tag, flags with those around, number, container
+    # tag, flags with those around but for SIDE and HINT, number, container, numbers of the side parts around
+    stack: list[tuple[str, int, int, int, tuple[int, ...]]] = [("", 0, 0, 0, ())]
+    parts_aside: dict[int, SidePart] = {}
     parts: list[str] = []
     linked: list[str] = []
     serial = 0
@@ -96,7 +118,7 @@ def text_blocks(page: str) -> list[TextBlock]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 own = next(x for x in reversed(stack) if x[0] in BLOCK_TAGS or not x[0])
-                out.append(TextBlock(text, own[0], own[1], len(" ".join("".join(linked).split())), own[2], own[3]))
+                out.append(TextBlock(text, own[0], own[1], len(" ".join("".join(linked).split())), own[2], own[3], own[4]))
             parts.clear()
             linked.clear()
 
@@ -137,13 +159,41 @@ def text_blocks(page: str) -> list[TextBlock]:
             serial += 1
             above = stack[-1]
             container = above[2] if tag in BLOCK_TAGS else above[3]
-            stack.append((tag, above[1] | _flags(tag, m[4]), serial, container))
+            flags, sides = _flags(tag, m[4]), above[4]
+            if flags & (SIDE | HINT):
+                readers = not READER_NAMES.isdisjoint(_LETTERS.findall(m[4].lower()))
+                parts_aside[serial] = SidePart(flags & (SIDE | HINT), not readers and (tag == "form" or tag not in SIDE_TAGS))
+                sides = (*sides, serial)
+            elif tag in ("article", "main"):
+                for s in sides:
+                    parts_aside[s].holds_article = True
+            stack.append((tag, above[1] | (flags & ~(SIDE | HINT)), serial, container, sides))
     if at < len(page):
         parts.append(page[at:])
     flush()
+    _mark_sides(out, parts_aside)
     return out
 
 
+def _mark_sides(blocks: list[TextBlock], aside: dict[int, SidePart]) -> None:
+    """SIDE and HINT for the blocks in such parts that are no wrappers."""
+    total = 0
+    for b in blocks:
+        size = max(0, len(b.text) - b.linked)
+        total += size
+        for s in b.sides:
+            aside[s].size += size
+            aside[s].paragraphs += b.tag == "p"
+    wrappers = {s for s, x in aside.items() if x.holds_article and 2 * x.size >= total}
+    for s, x in aside.items():
+        if s not in wrappers and x.can_wrap and x.paragraphs > 1 and x.size >= 200 and 10 * x.size >= 9 * total and not any(score(b) > 0 for b in blocks if s not in b.sides and not b.sides):
+            wrappers.add(s)
+    for b in blocks:
+        for s in b.sides:
+            if s not in wrappers:
+                b.flags |= aside[s].flag
+
+
 def score(block: TextBlock) -> float:
     """Above 0: the block looks like content."""
     words = block.text.count(" ") + 1
@@ -160,7 +210,8 @@ def score(block: TextBlock) -> float:
     if block.flags & MAIN:
         out += 2
     if block.flags & HEAD:
-        out -= 1 if heading and block.flags & ARTICLE else 12
+        own = block.flags & ARTICLE and (heading or block.tag == "p" and words >= 8)  # a title, a standfirst
+        out -= 1 if own else 12
     if block.flags & SIDE:
         out -= 14
     if block.flags & HINT:

@@ -79,3 +79,25 @@ def test_raw_elements_are_whole_names():
     words = "The quick brown fox jumps over the lazy dog while the others look on in silence."
     for tag in ("<svg-icon name=a></svg-icon>", "<title-bar></title-bar>", "<svg/>", "<svg width=1 />", "<svg><path d=x /></svg>"):
         assert H.main_text(f"<article><p>{words}</p>{tag}<p>{words}</p></article>") == f"{words} {words}"
+
+
+def test_wrappers_keep_their_article():
+    """Pages whose article lies within an element that looks like a side part."""
+    words = "The quick brown fox jumps over the lazy dog while the others look on in silence, every day of the week."
+    text = f"<h1>Title of the day</h1><p>{words}</p><p>{words} Again.</p><p>{words} And again.</p>"
+    want = f"Title of the day {words} {words} Again. {words} And again."
+    site = '<nav><a href="/">Home</a> <a href="/news">News of the day</a></nav>{0}<footer><p>Copyright of the owners.</p></footer>'
+    for page in (
+        f'<form runat="server">{text}</form>', f"<form><article>{text}</article></form>", f'<div class="elementor-widget-container">{text}</div>', f'<div class="wrap sidebar-right"><article>{text}</article></div>',
+        f'<div class="modal-open"><main>{text}</main></div>', f'<div class="comments-open content"><article>{text}</article></div>', f'<div class="widget"><div class="modal">{text}</div></div>',
+    ):
+        assert H.main_text(site.format(page)) == want, page
+        assert H.main_text(f"<html><body>{page}</body></html>") == want, page
+    # what is aside stays aside within a wrapper, and large side parts are no wrappers
+    assert H.main_text(f'<form><article>{text}<div class="ad"><p>{words}</p></div></article><div class="sidebar"><p>{words}</p></div></form>') == want
+    many = f"<p>{words} Said a reader.</p>" * 30
+    for part in (f'<section class="comments">{many}</section>', f'<div id="cookie-notice">{many}</div>', f"<aside>{many}</aside>", f'<div class="comments"><article class="comment">{many}</article></div>'):
+        assert H.main_text(f"<article>{text}</article>{part}") == want, part[:40]
+    assert H.main_text(f'<section class="comments">{many}</section>') == ""
+    standfirst = f"<article><header><h1>Title of the day</h1><p>{words}</p><p>By A. Writer</p></header><p>{words} Again.</p></article>"
+    assert H.main_text(standfirst) == f"Title of the day {words} {words} Again."
