@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -12,6 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,24 +54,37 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage, survives a lost executor."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    _written(df.sparkSession).append(path)
+    context = df.sparkSession.sparkContext
+    if owner := getattr(context, "_cohortlake_owner", None):
+        _written(context).setdefault(owner, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _written(spark: SparkSession) -> list[str]:
-    context = spark.sparkContext
+def _written(context: SparkContext) -> dict[str, list[str]]:
     if not hasattr(context, "_cohortlake_written"):
-        context._cohortlake_written = []
+        context._cohortlake_written = {}
     return context._cohortlake_written
 
 
-def release(spark: SparkSession, *keep: DataFrame) -> None:
-    """Remove the tables that ``materialise`` has written in this application, but for those that ``keep`` reads.
+@contextlib.contextmanager
+def owned(spark: SparkSession, owner: str) -> Iterator[None]:
+    """Tables that ``materialise`` writes within belong to ``owner``, which can release them; others are never removed."""
+    context = spark.sparkContext
+    before = getattr(context, "_cohortlake_owner", None)
+    context._cohortlake_owner = owner
+    try:
+        yield
+    finally:
+        context._cohortlake_owner = before
+
+
+def release(spark: SparkSession, owner: str, *keep: DataFrame) -> None:
+    """Remove the tables of ``owner``, but for those that ``keep`` reads.
 
     To be called when all results that rest on them have been written: a stage of a pipeline does it for the one before.
     """
     read = [f.split("://")[-1].removeprefix("file:") for df in keep for f in df.inputFiles()]
-    paths, jvm = _written(spark), spark.sparkContext._jvm
+    paths, jvm = _written(spark.sparkContext).setdefault(owner, []), spark.sparkContext._jvm
     for path in list(paths):
         plain = path.split("://")[-1].removeprefix("file:")
         if not any(plain in f for f in read):
@@ -78,6 +93,16 @@ def release(spark: SparkSession, *keep: DataFrame) -> None:
             paths.remove(path)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of what is written by now.
+
+    Its cleaner deletes them when nothing on the driver refers to the shuffle any more, which it learns from garbage
+    collections alone; a job of many written steps would keep those of all steps until its end.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once for each Spark application: they don't share the driver's code.
 

@@ -1,4 +1,5 @@
 import zlib
+from pathlib import Path
 
 import pyarrow.parquet as pq
 import pytest
@@ -69,6 +70,22 @@ def test_run_equals_stages_on_the_smallest_tables(spark, sf_dir):
     assert got.count() > 0 and got.columns[:2] == ["doc_id", "start"]
 
 
+def test_stages_leave_the_tables_of_others(spark, sf_dir):
+    """Only what the stages wrote is removed, and not what the next stage reads."""
+    from cohortlake.llm.common import owned, release
+
+    mine = materialise(spark.range(5), "mine")
+    with owned(spark, corpus_pipeline.OWNER):
+        theirs, docs = materialise(spark.range(6), "theirs"), materialise(spark.read.parquet(f"{sf_dir}/documents.parquet"), "docs")
+    again = materialise(spark.range(7), "again")
+    path = theirs.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("//", "/")
+    assert Path(path).exists()
+    kept = corpus_pipeline.drop_benchmark(spark, docs, sf_dir)
+    assert not Path(path).exists() and mine.count() == 5 and again.count() == 7 and 0 < kept.count() <= docs.count()
+    release(spark, corpus_pipeline.OWNER)
+    assert mine.count() == 5
+
+
 def test_odd_rows(spark, odd, empty):
     ship(spark)
     from cohortlake.llm import near_dedup as N
