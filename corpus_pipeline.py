@@ -4,49 +4,69 @@ Nulls and edges: rows with a null text have no words; they pass the first four s
 pack as an empty document. Rows with a null id are never taken for copies. An empty table gives no rows. ``n_chars``
 follows the text that a stage leaves.
 
-A stage is given what its predecessor returned as a written table, and removes the predecessor's intermediate tables.
+A stage is given what its predecessor returned as a written table, and removes the intermediate tables that stages before it
+wrote; tables of anybody else stay, and so do those of the last stage, whose result is read later.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.llm import decontamination, near_dedup, packing, quality, substring
-from cohortlake.llm.common import crc_remainder, fresh_path, release, table
+from cohortlake.llm.common import crc_remainder, fresh_path, owned, release, table
 from cohortlake.llm.encoding import default_tokenizer
 
 
+OWNER = "corpus_pipeline"
+
+
+def _owned(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The stage's intermediate tables belong to the pipeline; those of the stages before go."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, OWNER, docs)
+        with owned(spark, OWNER):
+            return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def _measured(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
+@_owned
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects (score under 0.3) go."""
     return quality.keep_quality(docs, table(spark, sf_dir, "labels"), crc_remainder(F.col("doc_id"), 5) != 0)
 
 
+@_owned
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    release(spark, docs)
     return near_dedup.keep_one(docs)
 
 
+@_owned
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more stay in the first document that has them."""
-    release(spark, docs)
     return _measured(substring.cut_repeats(docs))
 
 
+@_owned
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages go; documents that are mostly benchmark go altogether."""
-    release(spark, docs)
     return _measured(decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences of 1024."""
-    release(spark, docs)
+    release(spark, OWNER, docs)
     return packing.pack(docs, default_tokenizer(), keep_encoder=False)
 
 
