@@ -1,12 +1,16 @@
 """Harmonic packing of documents into token sequences of a fixed capacity.
 
-A document longer than the capacity gives full sequences first. The length of its rest puts it into a reciprocal-capacity
-class: class k has the lengths from capacity/k to below capacity/(k - 1), for k up to ``CLASSES``. Of such a rest a piece of
-exactly capacity/k goes to its class, and what is left over is classed again; k pieces fill a bin, whatever the documents.
-Left-overs shorter than capacity/``CLASSES`` go to the last class, whose bins are filled in turn and cut at their end. Each
-worker fills its own bins, so packing needs no shuffle. Where k does not divide the capacity, the fewer than k tokens that
-a bin lacks are cut from the last class. The bins that a worker leaves open are emptied into the last class, whose last bin
-is cut into powers of two, which need no padding. So nothing is padded, whatever the lengths.
+A document of at most ``capacity`` tokens belongs to a reciprocal-capacity class by its length: class k has the lengths above
+capacity/(k + 1) up to capacity/k, and k whole documents fill a bin of class k, for k up to ``CLASSES``. A longer document
+has to be cut in any case: it gives full sequences, and its rest is classed like a document. Each worker fills its own
+bins, so packing needs no shuffle.
+
+What a bin of class k lacks, less than capacity/(k + 1) tokens, comes first from documents too short for any class, whole
+while they fit, then from a stock of full sequences of long documents, which may be cut anywhere, then from a short document
+that is cut. A bin for which none of these is there waits; of more than ``WAITING`` bins one is given up to fill the
+others. At the end of a partition the classes' open bins fill the waiting ones, and the last sequence is split into powers of two, which
+need no padding. So nothing is padded, whatever the lengths, and a bin costs at most one cut. A worker holds
+the stock (``STOCK`` sequences of either kind), the waiting bins and one batch of documents.
 
 Nulls and edges: a null text is empty and packs its end id alone; a null id stays null; repeated rows are packed each;
 other columns are ignored; an empty table gives no rows. Sequence ids are unique: the partition's number, then a count.
@@ -15,6 +19,7 @@ other columns are ignored; an empty table gives no rows. Sequence ids are unique
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,101 +34,116 @@ _COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
 _ARROW = pa.schema([(x, pa.int64()) for x in _COLUMNS])
 
 
-#: classes of a fixed count of documents
-CLASSES = 8
+#: classes of a fixed count of documents; full sequences that are held to fill bins; bins that wait for something to fill them
+CLASSES, STOCK, WAITING = 8, 16, 64
 
 
-def cuts(length: int, capacity: int, classes: int = CLASSES) -> list[tuple[int, int]]:
-    """Pieces (length, class) of a document: whole sequences, then the classes of the rest; 0 is the last class."""
-    out, rest = [(capacity, 1)] * (length // capacity), length % capacity
-    while rest:
-        k = -(-capacity // rest)
-        k += rest < capacity // k  # where capacity / k is rounded down
-        size = capacity // k if k <= classes else rest
-        if k > classes or size < 1:
-            out.append((rest, 0))
-            break
-        out.append((size, k))
-        rest -= size
-    return out
+def reciprocal_class(length: int, capacity: int, classes: int = CLASSES) -> int:
+    """The k of capacity/(k + 1) < length <= capacity/k; 0 for a document too short for any class."""
+    k = capacity // length
+    return k if k <= classes else 0
 
 
 class Bins:
-    """The open bin of each class of one worker. A piece is (document, start, length, crc of its ids, tokens), with its ids."""
+    """The bins of one worker. A piece is (document, start, its ids as bytes, the document's tokens)."""
 
     def __init__(self, capacity: int, first_id: int) -> None:
         self.capacity, self.next_id = capacity, first_id
         self.open: dict[int, list[tuple]] = {}
-        self.filled = 0
+        self.waiting: deque[list[tuple]] = deque()
+        self.short: deque[tuple] = deque()
+        self.long: deque[tuple] = deque()
+        self.in_short = self.in_long = 0
         self.rows: list[tuple[int, ...]] = []
 
-    def _place(self, piece: tuple, offset: int) -> None:
-        doc, start, ids, tokens = piece
-        self.rows.append((doc, start, len(ids) // 4, zlib.crc32(ids), tokens, self.next_id, offset))
-
-    def _close(self, pieces: list[tuple]) -> None:
-        offset = 0
-        for piece in pieces:
-            self._place(piece, offset)
-            offset += len(piece[2]) // 4
-        self.next_id += 1
+    def add(self, doc: int | None, ids: bytes) -> None:
+        """A document with all its ids, 4 bytes each."""
+        n = len(ids) // 4
+        full = n - n % self.capacity if n > self.capacity else 0
+        held = min(full, max(0, STOCK * self.capacity - self.in_long) // self.capacity * self.capacity)
+        for start in range(0, full - held, self.capacity):
+            self._close([(doc, start, ids[4 * start : 4 * (start + self.capacity)], n)])
+        if held:
+            self.long.append((doc, full - held, ids[4 * (full - held) : 4 * full], n))
+            self.in_long += held
+        if full < n:
+            self._class((doc, full, ids[4 * full :], n))
+        self._serve()
+
+    def _class(self, piece: tuple) -> None:
+        size = len(piece[2]) // 4
+        if k := reciprocal_class(size, self.capacity):
+            bin_ = self.open.setdefault(k, [])
+            bin_.append(piece)
+            if len(bin_) == k:
+                self.waiting.append(self.open.pop(k))
+            return
+        self.short.append(piece)
+        self.in_short += size
+        if self.in_short >= STOCK * self.capacity:
+            self._fill([])
+
+    def _gap(self, pieces: list[tuple]) -> int:
+        return self.capacity - sum(len(x[2]) // 4 for x in pieces)
+
+    def _serve(self) -> None:
+        """Fill the bins that wait, as far as there is something to fill them."""
+        while self.waiting and self._gap(self.waiting[0]) <= self.in_short + self.in_long:
+            self._fill(self.waiting.popleft())
+        if len(self.waiting) > WAITING:
+            self._give_up()
+            self._serve()
+
+    def _give_up(self) -> None:
+        """The documents of the last bin that waits, the one for which least was there, fill others."""
+        for piece in self.waiting.pop():
+            self.short.append(piece)
+            self.in_short += len(piece[2]) // 4
 
     def _fill(self, pieces: list[tuple]) -> None:
-        """Close a bin; what it lacks, fewer tokens than it has pieces, comes from the end of the last class's bin."""
-        gap = self.capacity - sum(len(x[2]) // 4 for x in pieces)
-        if gap > self.filled:
-            for piece in pieces:
-                self.put(0, piece)
-            return
-        self.filled -= gap
+        """Close a bin with what it lacks: short documents while they fit, then part of a long one, then of a short one."""
+        gap = self._gap(pieces)
         while gap:
-            doc, start, ids, tokens = self.open[0].pop()
-            n = len(ids) // 4
-            taken = min(n, gap)
-            if taken < n:
-                self.open[0].append((doc, start, ids[: 4 * (n - taken)], tokens))
-            pieces.append((doc, start + n - taken, ids[4 * (n - taken) :], tokens))
+            size = len(self.short[0][2]) // 4 if self.short else 0
+            if size and (size <= gap or not self.long):
+                doc, start, ids, tokens = self.short.popleft()
+                self.in_short -= (taken := min(size, gap))
+                if taken < size:
+                    self.short.appendleft((doc, start + taken, ids[4 * taken :], tokens))
+            else:
+                doc, start, ids, tokens = self.long.popleft()
+                self.in_long -= (taken := min(len(ids) // 4, gap))
+                if 4 * taken < len(ids):
+                    self.long.appendleft((doc, start + taken, ids[4 * taken :], tokens))
+            pieces.append((doc, start, ids[: 4 * taken], tokens))
             gap -= taken
         self._close(pieces)
 
-    def put(self, k: int, piece: tuple) -> None:
-        bin_ = self.open.setdefault(k, [])
-        if k:
-            bin_.append(piece)
-            if len(bin_) == k:
-                self._fill(self.open.pop(k))
-            return
-        doc, start, ids, tokens = piece
-        while self.filled + len(ids) // 4 >= self.capacity:
-            room = self.capacity - self.filled
-            if room:
-                bin_.append((doc, start, ids[: 4 * room], tokens))
-            start, ids = start + room, ids[4 * room :]
-            self._close(bin_)
-            bin_.clear()
-            self.filled = 0
-        if ids:
-            bin_.append((doc, start, ids, tokens))
-            self.filled += len(ids) // 4
+    def _close(self, pieces: list[tuple]) -> None:
+        offset = 0
+        for doc, start, ids, tokens in pieces:
+            self.rows.append((doc, start, len(ids) // 4, zlib.crc32(ids), tokens, self.next_id, offset))
+            offset += len(ids) // 4
+        self.next_id += 1
 
     def finish(self) -> None:
-        """Empty all open bins into the last class; its last bin becomes sequences of powers of two."""
-        for k in sorted(k for k in self.open if k):
+        """Fill what waits from the open bins and from one another; what is left becomes sequences of powers of two."""
+        for k in sorted(self.open):
             for piece in self.open.pop(k):
-                self.put(0, piece)
-        left = self.open.pop(0, [])
-        for j in range(self.filled.bit_length() - 1, -1, -1):
-            room, taken = (1 << j) * (self.filled >> j & 1), []
-            while room:
-                doc, start, ids, tokens = left.pop(0)
-                if len(ids) // 4 > room:
-                    left.insert(0, (doc, start + room, ids[4 * room :], tokens))
-                    ids = ids[: 4 * room]
-                taken.append((doc, start, ids, tokens))
-                room -= len(ids) // 4
-            if taken:
-                self._close(taken)
-        self.filled = 0
+                self.short.append(piece)
+                self.in_short += len(piece[2]) // 4
+        self._serve()
+        while self.waiting:
+            self._give_up()
+            self._serve()
+        while self.in_short + self.in_long >= self.capacity:
+            self._fill([])
+        whole, left = self.capacity, self.in_short + self.in_long
+        for j in range(left.bit_length() - 1, -1, -1):
+            if left >> j & 1:
+                self.capacity = 1 << j
+                self._fill([])
+        self.capacity = whole
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, keep_encoder: bool = True) -> DataFrame:
@@ -147,11 +167,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in slices([len(x or "") for x in texts], 1 << 20):
                 for name, raw in zip(names[lo:hi], encoder.encode(texts[lo:hi])):
-                    raw += end
-                    n, start = len(raw) // 4, 0
-                    for size, k in cuts(n, capacity):
-                        bins.put(k, (name, start, raw[4 * start : 4 * (start + size)], n))
-                        start += size
+                    bins.add(name, raw + end)
                 if len(bins.rows) > 20_000:
                     yield out()
         bins.finish()

@@ -104,25 +104,51 @@ def test_packing_odd_rows(spark, odd, empty):
         P.pack(odd, default_tokenizer(), 1000)
 
 
+def packed_lengths(lengths, capacity):
+    """The rows of one worker's bins, after checks that hold for all lengths: every token once, nothing padded."""
+    bins = P.Bins(capacity, 0)
+    for doc, n in enumerate(lengths):
+        bins.add(doc, np.arange(n, dtype="<u4").tobytes())
+        assert len(bins.waiting) <= P.WAITING and bins.in_long <= P.STOCK * capacity and bins.in_short <= (P.STOCK + 1) * capacity
+    bins.finish()
+    assert not (bins.open or bins.waiting or bins.short or bins.long)
+    size, parts = {}, {}
+    for doc, start, n, crc, tokens, sequence, offset in bins.rows:
+        assert tokens == lengths[doc] and crc == zlib.crc32(np.arange(start, start + n, dtype="<u4").tobytes())
+        size[sequence] = size.get(sequence, 0) + n
+        parts.setdefault(doc, []).append((start, n))
+    for doc, n in enumerate(lengths):
+        at = 0
+        for start, m in sorted(parts[doc]):
+            assert start == at
+            at += m
+        assert at == n
+    assert all(n == capacity or n & (n - 1) == 0 for n in size.values())
+    assert sum(n < capacity for n in size.values()) <= capacity.bit_length()
+    return bins.rows
+
+
 def test_reciprocal_classes():
-    """Rests are cut to capacity / k, a bin of class k takes k of them, and nothing is padded."""
-    rng = np.random.default_rng(4)
+    """A class has the lengths of which k fit and k + 1 don't; k whole documents fill its bins."""
     for capacity in (16, 1024):
-        bins, whole = P.Bins(capacity, 0), 0
-        for doc, n in enumerate(rng.integers(1, 3 * capacity, 300).tolist()):
-            pieces = P.cuts(n, capacity)
-            assert sum(size for size, _ in pieces) == n and all(k == 0 or size == capacity // k for size, k in pieces)
-            assert all(size < -(-capacity // P.CLASSES) for size, k in pieces if k == 0)
-            start = 0
-            for size, k in pieces:
-                bins.put(k, (doc, start, bytes(4 * size), n))
-                start += size
-            whole += n
-        bins.finish()
-        length, several = {}, {}
-        for _, _, n, _, _, sequence, offset in bins.rows:
-            length[sequence] = max(length.get(sequence, 0), offset + n)
-            several.setdefault(sequence, []).append(n)
-        assert sum(length.values()) == whole == sum(map(sum, several.values()))
-        assert all(n == capacity or n & (n - 1) == 0 for n in length.values())
-        assert sum(n < capacity for n in length.values()) <= capacity.bit_length()
+        for n in range(1, capacity + 1):
+            k = P.reciprocal_class(n, capacity)
+            assert (n * k <= capacity < n * (k + 1) and 1 <= k <= P.CLASSES) if k else n * (P.CLASSES + 1) <= capacity
+    # three of a third each, and what their bin lacks from a long document
+    rows = packed_lengths([2048, 300, 300, 300], 1024)
+    bin_ = next(r[5] for r in rows if r[0] == 1)
+    assert [(r[0], r[2]) for r in rows if r[5] == bin_] == [(1, 300), (2, 300), (3, 300), (0, 124)]
+
+
+def test_packing_keeps_documents_whole():
+    """Documents that fit a sequence are rarely cut where there are long or short ones, and no length pattern breaks the bins."""
+    rng = np.random.default_rng(4)
+    lengths = np.concatenate([rng.integers(1, 1025, 700), rng.integers(1025, 6000, 300)])
+    rows = packed_lengths(rng.permutation(lengths).tolist(), 1024)
+    pieces = np.bincount([r[0] for r in rows if r[4] <= 1024])
+    assert (pieces > 1).sum() < 70 and pieces.sum() < 1.2 * 700
+    for same in (1, 7, 113, 114, 341, 342, 512, 513, 600, 1023, 1024, 1025, 5000):
+        packed_lengths([same] * 400, 1024)
+    packed_lengths(rng.integers(513, 1025, 500).tolist(), 1024)
+    packed_lengths(rng.integers(1, 40, 3000).tolist(), 16)
+    packed_lengths([], 1024)
