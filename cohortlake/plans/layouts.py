@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import copy
-from dataclasses import dataclass
-from functools import reduce
+from collections.abc import Callable, Iterator, Mapping
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +23,27 @@ from .warehouse import ENROLMENT, OFFERING, Warehouse, item_facts, with_rules
 DERIVED = {name: [*OFFERING, *CONTRACT[name].rules] for name in ("fact_submission", "fact_vle_daily")}
 
 
-def normalised(w: Warehouse) -> dict[str, DataFrame]:
+class Built(Mapping):
+    """Tables by name, each built when first asked for: a staged warehouse computes and writes what a builder touches."""
+
+    def __init__(self, builders: Mapping[str, Callable[[], DataFrame]]) -> None:
+        self.builders, self.built = builders, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.built:
+            self.built[name] = self.builders[name]()
+        return self.built[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.builders)
+
+    def __len__(self) -> int:
+        return len(self.builders)
+
+
+def normalised(w: Warehouse) -> Mapping[str, DataFrame]:
     """The facts without what can be derived: no offering, which the item or the site has, and no rule's column."""
-    return {name: getattr(w, name).drop(*columns) for name, columns in DERIVED.items()}
+    return Built({name: lambda name=name, columns=columns: getattr(w, name).drop(*columns) for name, columns in DERIVED.items()})
 
 
 def restored_submission(stored: DataFrame, assessment: DataFrame, presentation: DataFrame) -> DataFrame:
@@ -38,20 +56,22 @@ def restored_clicks(stored: DataFrame, site: DataFrame) -> DataFrame:
     return CONTRACT["fact_vle_daily"].derive(stored.join(site.select("id_site", *OFFERING), "id_site"))
 
 
-def wide(w: Warehouse) -> dict[str, DataFrame]:
+def wide(w: Warehouse) -> Mapping[str, DataFrame]:
     """Facts with the columns of their dimensions; the snapshot gets no outcome."""
-    student = w.dim_student.drop("imd_unknown")
-    offering = w.dim_presentation.select(*OFFERING, "year", "semester", "length_days", "n_weeks")
-    item = w.dim_assessment.select("id_assessment", "assessment_type", "deadline", "weight", "is_first_weighted_tma")
-    site = w.dim_vle_site.select("id_site", "activity_type", "week_from")
-    about = lambda fact: fact.join(offering, OFFERING, "left").join(student, "id_student", "left")
-    return {
-        "wide_enrollment": about(w.fact_enrollment),
-        "wide_submission": about(w.fact_submission.join(item, "id_assessment", "left")),
-        "wide_clicks": about(w.fact_vle_daily.join(site, "id_site", "left")),
-        "wide_student_week": about(w.fact_student_week),
-        "wide_presentation": w.dim_presentation,
-    }
+
+    def about(fact: DataFrame) -> DataFrame:
+        offering = w.dim_presentation.select(*OFFERING, "year", "semester", "length_days", "n_weeks")
+        return fact.join(offering, OFFERING, "left").join(w.dim_student.drop("imd_unknown"), "id_student", "left")
+
+    item = lambda: w.dim_assessment.select("id_assessment", "assessment_type", "deadline", "weight", "is_first_weighted_tma")
+    site = lambda: w.dim_vle_site.select("id_site", "activity_type", "week_from")
+    return Built({
+        "wide_enrollment": lambda: about(w.fact_enrollment),
+        "wide_submission": lambda: about(w.fact_submission.join(item(), "id_assessment", "left")),
+        "wide_clicks": lambda: about(w.fact_vle_daily.join(site(), "id_site", "left")),
+        "wide_student_week": lambda: about(w.fact_student_week),
+        "wide_presentation": lambda: w.dim_presentation,
+    })
 
 
 def validate(source: DataFrame, built: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -60,14 +80,38 @@ def validate(source: DataFrame, built: DataFrame, keys: list[str], name: str) ->
     return key_report(built, keys, name).crossJoin(n).withColumn("is_whole", (F.col("n_rows") == F.col("n_source")) & (F.col("n_rows") > 0)).drop("n_source")
 
 
-@dataclass
 class Layout:
-    """Where the four benchmark workloads read from; the answers are the same for every layout."""
+    """Where the four benchmark workloads read from, each part built when first asked for; the answers are the same for every layout."""
+
+    def __init__(self, submissions: Callable[[], DataFrame], clicks: Callable[[], DataFrame], snapshot: Callable[[], Warehouse], enrolments: Callable[[], DataFrame]) -> None:
+        self._submissions, self._clicks, self._snapshot, self._enrolments = submissions, clicks, snapshot, enrolments
 
-    submissions: DataFrame  # with assessment_type
-    clicks: DataFrame  # with activity_type
-    snapshot: Warehouse
-    enrolments: DataFrame  # with imd_band
+    @cached_property
+    def submissions(self) -> DataFrame:
+        """With assessment_type."""
+        return self._submissions()
+
+    @cached_property
+    def clicks(self) -> DataFrame:
+        """With activity_type."""
+        return self._clicks()
+
+    @cached_property
+    def snapshot(self) -> Warehouse:
+        return self._snapshot()
+
+    @cached_property
+    def enrolments(self) -> DataFrame:
+        """With imd_band."""
+        return self._enrolments()
+
+
+def _with(w: Warehouse, **tables: DataFrame) -> Warehouse:
+    """The warehouse with other tables in the place of its own."""
+    own = copy.copy(w)
+    for name, df in tables.items():
+        setattr(own, name, df)
+    return own
 
 
 def store_layouts(w: Warehouse, path: str) -> Warehouse:
@@ -89,22 +133,21 @@ def layout(w: Warehouse, kind: str) -> Layout:
     stored_tables = getattr(w, "stored", {})
     if kind == "wide":
         tables = stored_tables.get("wide") or wide(w)
-        own = copy.copy(w)
-        own.fact_student_week = tables["wide_student_week"]
-        return Layout(tables["wide_submission"], tables["wide_clicks"], own, tables["wide_enrollment"])
-    submission, clicks = w.fact_submission, w.fact_vle_daily
+        part = lambda name: lambda: tables[name]
+        return Layout(part("wide_submission"), part("wide_clicks"), lambda: _with(w, fact_student_week=tables["wide_student_week"]), part("wide_enrollment"))
     if kind == "norm":
         stored = stored_tables.get("norm") or normalised(w)
-        submission, clicks = restored_submission(stored["fact_submission"], w.dim_assessment, w.dim_presentation), restored_clicks(stored["fact_vle_daily"], w.dim_vle_site)
-    elif kind != "star":
+        submission, clicks = lambda: restored_submission(stored["fact_submission"], w.dim_assessment, w.dim_presentation), lambda: restored_clicks(stored["fact_vle_daily"], w.dim_vle_site)
+    elif kind == "star":
+        submission, clicks = lambda: w.fact_submission, lambda: w.fact_vle_daily
+    else:
         raise ValueError(f"no layout {kind}")
-    own = copy.copy(w)
-    own.fact_submission, own.fact_vle_daily = submission, clicks
     return Layout(
-        submission.join(w.dim_assessment.select("id_assessment", "assessment_type"), "id_assessment"),
-        clicks.join(w.dim_vle_site.select("id_site", "activity_type"), "id_site"),
-        own, w.fact_enrollment.join(w.dim_student.select("id_student", "imd_band"), "id_student"),
-    )
+        lambda: submission().join(w.dim_assessment.select("id_assessment", "assessment_type"), "id_assessment"),
+        lambda: clicks().join(w.dim_vle_site.select("id_site", "activity_type"), "id_site"),
+        lambda: _with(w, fact_submission=submission(), fact_vle_daily=clicks()),
+        lambda: w.fact_enrollment.join(w.dim_student.select("id_student", "imd_band"), "id_student"),
+    )
 
 
 def bench_q07(x: Layout) -> DataFrame:

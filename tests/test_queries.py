@@ -85,3 +85,16 @@ def test_no_window_over_an_offering(spark, shared, sf_dir):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         for line in (x for x in plan.splitlines() if "Window [" in x):
             assert "range_no" in line, (name, line[:200])
+
+
+def test_a_wide_table_builds_only_what_it_reads(spark, sf_dir, tmp_path):
+    from cohortlake.plans import layouts as L
+    from cohortlake.plans.staged import StagedWarehouse
+    from cohortlake.sources.bridge import raw_tables
+
+    w = StagedWarehouse(spark, raw_tables(spark, sf_dir), str(tmp_path), -1)
+    assert L.wide(w)["wide_submission"].count() == w.fact_submission.count() > 0
+    L.bench_q07(L.layout(w, "wide")).collect()
+    L.bench_q07(L.layout(w, "norm")).collect()
+    assert set(w.written) == {"dim_presentation", "dim_student", "dim_assessment", "fact_submission"}
+    assert {"student_vle", "vle", "student_registration"}.isdisjoint(w.raw._read)
