@@ -14,8 +14,12 @@ _encoders: dict[str, Encoder] = {}
 _BREAK = re.compile(r"(?<!\s) ")
 _ANY = re.compile(r"\s")
 _WIDE = re.compile(r"\s ")
+#: ASCII marks but the apostrophe, which can begin a word
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: pieces that go through the tokenizer together
-AT_ONCE = 200
+AT_ONCE = 100
+#: ends of pieces that are kept
+ENDS = 100_000
 
 
 def default_tokenizer() -> str:
@@ -44,6 +48,8 @@ class Encoder:
         self.cache_size = cache_size
         line, pair = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("\n", "x\n x"))
         self.line_end = line[0] if len(line) == 1 and pair.count(line[0]) == 1 else None
+        self.ends: dict[str, bytes] = {}
+        self.by_class = self.tokenizer.normalizer is None and str(self.tokenizer.pre_tokenizer).startswith("ByteLevel(") and "use_regex=True" in str(self.tokenizer.pre_tokenizer)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -69,22 +75,39 @@ class Encoder:
     def _learn(self, parts: list[str]) -> None:
         """Put the ids of each part, led by a space, into the cache.
 
-        Parts without white space go through the tokenizer many at once, a line each: it splits before the
-        space after a line end, and only a line end has that id.
+        A part that ends with marks after a letter or digit is that of its stem and of the marks, between which the
+        tokenizer splits. Parts without white space go through the tokenizer many at once, a line each: it splits
+        before the space after a line end, and only a line end has that id.
         """
-        plain = [x for x in parts if x and _ANY.search(x) is None] if self.line_end is not None else []
+        stems = self._stems(parts) if self.by_class else {}
+        if stems:
+            whole = [x for x in parts if x not in stems]
+            parts = whole + list({stem for stem, _ in stems.values()}.difference(self.cache, whole))
+        plain = [x for x in parts if x.isalnum() or x and _ANY.search(x) is None] if self.line_end is not None else []
         for lo in range(0, len(plain), AT_ONCE):
             some = plain[lo : lo + AT_ONCE]
-            ids = self.tokenizer.encode("\n".join([f" {x}" for x in some]), add_special_tokens=False).ids
+            ids = self.tokenizer.encode_batch_fast([" " + "\n ".join(some)], add_special_tokens=False)[0].ids
             flat = np.array(ids, "<u4")
-            ends = np.append(np.flatnonzero(flat == self.line_end), len(flat)) * 4
+            ends = (np.append(np.flatnonzero(flat == self.line_end), len(flat)) * 4).tolist()
             raw = flat.tobytes()
-            lead = 0
-            for x, end in zip(some, ends.tolist(), strict=True):
-                self.cache[x] = raw[lead:end]
-                lead = end + 4
+            self.cache.update(zip(some, [raw[a + 4 : b] for a, b in zip([-4, *ends], ends)], strict=True))
         rest = [x for x in parts if x not in self.cache]
         self.cache.update(zip(rest, self._ids([f" {x}" for x in rest])))
+        if stems:
+            if len(self.ends) > ENDS:
+                self.ends = {}
+            new = list({end for _, end in stems.values()}.difference(self.ends))
+            self.ends.update(zip(new, self._ids(new)))
+            known, ends = self.cache, self.ends
+            known.update([(x, known[stem] + ends[end]) for x, (stem, end) in stems.items()])
+
+    def _stems(self, parts: list[str]) -> dict[str, tuple[str, str]]:
+        """The stem and the marks of each part that ends with marks after a Latin letter or a digit."""
+        out = {}
+        for x in parts:
+            if not x.isalnum() and x and (stem := x.rstrip(_MARKS)) and len(stem) < len(x) and stem[-1] < "\u0250" and stem[-1].isalnum():
+                out[x] = stem, x[len(stem) :]
+        return out
 
     def _shrink(self, needed: set[str]) -> None:
         """Keep the shorter half, which are the more frequent, and what is needed now."""

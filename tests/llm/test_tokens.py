@@ -32,6 +32,36 @@ def test_special_strings_are_text_and_caches_empty():
     assert 50256 not in plain(texts[0])
 
 
+@given(st.lists(st.text(alphabet=st.sampled_from("abÉ1²'s$_.-~\n\u0301中ɐ"), max_size=8), max_size=12))
+@settings(max_examples=300, deadline=None)
+def test_stems_and_marks_encode_as_the_whole(parts):
+    text = " ".join(parts)
+    assert array.array("I", ENCODER.encode([text])[0]).tolist() == plain(text)
+
+
+def test_words_are_encoded_once_whatever_marks_follow(monkeypatch):
+    """One word before many marks goes through the tokenizer once."""
+    encoder, seen = Encoder(default_tokenizer()), []
+    tokenizer = encoder.tokenizer
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(tokenizer, name)
+
+        def encode_batch_fast(self, texts, **options):
+            seen.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **options)
+
+        def encode(self, text, **options):
+            seen.append(text)
+            return tokenizer.encode(text, **options)
+
+    encoder.tokenizer = Counted()
+    text = "first " + " ".join(f"nonesuch{'$' * n}" for n in range(1, 40)) + " nonesuch"
+    assert array.array("I", encoder.encode([text])[0]).tolist() == plain(text)
+    assert sum(x.count("nonesuch") for x in seen) == 1
+
+
 def expected(rows):
     out, at = [], 0
     for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
