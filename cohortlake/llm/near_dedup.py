@@ -30,9 +30,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import materialise, table, tidy, unused
+from .common import forget_shuffles, materialise, table, tidy, unused
 from .graph import components
-from .sieve import sieve_of, sift
+from .sieve import among, sieve_of, sift
 
 BANDS, ROWS = 32, 6
 M = BANDS * ROWS
@@ -123,7 +123,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, shingles) of the documents ``ids`` (id, key), a few of all: a bitmap keeps the other texts out of the shuffle.
+    """(id, shingles) of the documents ``ids`` (id, key; a written table), a few of all: a bitmap keeps the other texts out of the shuffle.
 
     ``key`` is the first key of the set: of rows that repeat an id it tells which one is meant.
     """
@@ -134,7 +134,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             meant = np.array([int(s.sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64) == np.array(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "shingles"]).filter(pa.array(meant))
 
-    some = sift(docs.select("doc_id", "text"), "doc_id", sieve_of(ids.select("id"), ids.count()))
+    some = among(docs.select("doc_id", "text"), "doc_id", ids.select("id"))
     chosen = some.join(ids.withColumnRenamed("id", "doc_id"), "doc_id")
     return chosen.mapInArrow(tidy(run), "id long, shingles array<long>").dropDuplicates(["id"])
 
@@ -144,6 +144,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     end = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}"))
     common = F.size(F.array_intersect("set_a", "set_b"))
     pairs = materialise(pairs, "pairs")
+    forget_shuffles(sets.sparkSession)
     return pairs.join(end("b"), "b").join(end("a"), "a").where(100 * common >= share * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
 
 
@@ -158,7 +159,7 @@ def _classes(docs: DataFrame, full: DataFrame, k: int) -> DataFrame:
     reps = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
     reps = materialise(reps.where("rep < last").drop("last"), "reps")
     shared = materialise(full.join(reps, ["set_a", "set_b"]).select("doc_id", "rep", F.col("set_a").alias("key")), "shared")
-    ids = shared.groupBy(F.col("doc_id").alias("id")).agg(F.min("key").alias("key"))
+    ids = materialise(shared.groupBy(F.col("doc_id").alias("id")).agg(F.min("key").alias("key")), "ids")
     same = _confirmed(shared.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")), _sets(docs, ids, k), 100)
     return materialise(same.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("rep")), "classes")
 
@@ -192,6 +193,7 @@ def _met_by_differences(groups: DataFrame, sets: DataFrame, share: int) -> DataF
     first = ordered.select("pivot", "rep", "own", "head", "v", "spare", "all", "shared", F.posexplode(F.slice("diff", F.lit(1), (F.col("shared") - F.col("needed") + 1).cast("int"))).alias("i", "d"))
     first = first.select("pivot", F.col("d.s").alias("s"), "rep", "own", "head", "v", "spare", "all", "shared", (F.col("all") - F.col("shared") + F.col("i") + 1).alias("place"))
     first = materialise(first, "first")
+    forget_shuffles(sets.sparkSession)
     named = lambda c: first.select("pivot", "s", *(F.col(n).alias(a) for n, a in (("rep", c), ("own", f"{c}_own"), ("v", f"v_{c}"), ("all", f"all_{c}"), ("shared", f"shared_{c}"), ("place", f"place_{c}"))), *([] if c == "y" else ["head", "spare"]))
     need = f"ceil((v_x + v_y - spare) / {per})"
     meet = F.expr(f"x_own <> y_own and (y_own = head or x < y) and {need} <= least(shared_x, shared_y) and place_x <= all_x - {need} + 1 and place_y <= all_y - {need} + 1")
@@ -210,16 +212,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: int = 85) -> DataFrame:
     nodes = full.withColumnRenamed("doc_id", "rep").join(classes.select(F.col("doc_id").alias("rep")), "rep", "left_anti")
     nodes = nodes.groupBy("rep").agg(F.min_by(F.struct("n_shingles", "registers", "bands", "set_a"), F.struct("set_a", "set_b")).alias("row"))
     nodes = materialise(nodes.select("rep", "row.*"), "nodes")
+    forget_shuffles(docs.sparkSession)
 
     banded = nodes.select("rep", F.explode("bands").alias("band"))
     shared = materialise(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "shared")
     found_in = materialise(sift(banded, "band", sieve_of(shared, shared.count())).join(shared, "band"), "found_in")
     ids = materialise(nodes.select(F.col("rep").alias("id"), F.col("set_a").alias("key")).join(found_in.select(F.col("rep").alias("id")).distinct(), "id"), "ids")
     sets = materialise(_sets(docs, ids, k), "sets")
+    forget_shuffles(docs.sparkSession)
     alone = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
     alone = alone.groupBy("id").agg(F.count("*").alias("u"))
     sizes = sets.select("id", F.size("shingles").cast("long").alias("n")).join(alone, "id", "left").select(F.col("id").alias("rep"), "n", F.coalesce("u", F.lit(0)).alias("u"))
     sizes = materialise(sizes, "sizes")
+    forget_shuffles(docs.sparkSession)
     # the first of a band is the document with the least of its own: the original of a group of edited copies
     central = found_in.join(sizes, "rep").groupBy("band").agg(F.min_by("rep", F.struct("u", "rep")).alias("first"))
     members = materialise(found_in.join(central, "band").select("first", "rep").distinct(), "members")
@@ -227,8 +232,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: int = 85) -> DataFrame:
 
     stars = members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
     stars = materialise(stars.join(of("a"), "a").join(of("b"), "b").where(_can_link("a", "b", share)).select("a", "b"), "stars")
+    forget_shuffles(docs.sparkSession)
     links = materialise(_confirmed(_likely(stars, nodes, least), sets, share), "links")
     found = components(links)
+    forget_shuffles(docs.sparkSession)
 
     # bands whose firsts are in one component are one group; its pivot is the most central of these firsts
     label = lambda c, name: found.select(F.col("node").alias(c), F.col("component").alias(name))
@@ -237,8 +244,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: int = 85) -> DataFrame:
     # a document of which too much is its own links with nothing
     groups = own.select("head", "rep", "own").distinct().join(sizes, "rep").where(f"100 * (n - u) >= {share} * n")
     groups = materialise(groups.join(pivots, "head").where("rep <> pivot").select("pivot", "head", "rep", "own", "u"), "groups")
+    forget_shuffles(docs.sparkSession)
     several = groups.groupBy("pivot").agg(F.count("*").alias("n"), F.max(F.expr("own <> head")).alias("outside")).where("outside and n > 1").select("pivot")
     pairs = materialise(_met_by_differences(groups.join(several, "pivot"), sets, share), "cross")
+    forget_shuffles(docs.sparkSession)
 
     # first one member of each other component for each document, which joins most of what belongs together; then the rest
     tested = stars
@@ -271,12 +280,11 @@ def keep_one(docs: DataFrame, k: int = 5, share: int = 85) -> DataFrame:
     node, by = unused(docs.columns, "touched_id"), unused(docs.columns, "touched_by")
     found = near_duplicates(docs, k, share).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows"))
     touched = materialise(found.where("rows > 1 or component_id <> doc_id").select(F.col("doc_id").alias(node), F.col("component_id").alias(by)), "touched")
-    sieve = sieve_of(touched.select(node), touched.count())
-    some = sift(docs, "doc_id", sieve)
+    some = among(docs, "doc_id", touched.select(node))
     some = some.join(touched, F.col("doc_id") == F.col(node), "left").where(F.col(node).isNull() | (F.col(by) == F.col("doc_id")))
     first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
     some = some.withColumn(by, F.row_number().over(first)).where(F.col(by) == 1).select(*docs.columns)
-    return sift(docs, "doc_id", sieve, inside=False).unionByName(some)
+    return among(docs, "doc_id", touched.select(node), inside=False).unionByName(some)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,12 +73,15 @@ def sift(df: DataFrame, column: str, sieve: np.ndarray, inside: bool = True) ->
     return df.mapInArrow(tidy(run), df.schema)
 
 
-def among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """The rows whose ``column`` may be among the one column of ``ids`` (a written table; rows may repeat)."""
+def among(df: DataFrame, column: str, ids: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows whose ``column`` may be among the one column of ``ids`` (a written table; rows may repeat).
+
+    With ``inside=False`` those that are surely not (nulls too).
+    """
     bits = unused(df.columns, "sieve_bits")
     packed = sieve_of(ids.select(F.xxhash64(F.col(ids.columns[0]).cast("long")).alias("h")), ids.count(), hashed=True)
     row = pa.ListArray.from_arrays(pa.array([0, len(packed) // 8], pa.int32()), pa.array(packed.view("<i8")))
     sieve = df.sparkSession.createDataFrame(pa.table({bits: row}))
     at = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(len(packed) * 8))
     word, bit = F.shiftright(at, 6).cast("int"), at.bitwiseAND(F.lit(63)).bitwiseXOR(F.lit(7)).cast("int")  # packed from the high bit of each byte
-    return df.join(F.broadcast(sieve), F.col(column).isNotNull() & (F.getbit(F.col(bits)[word], bit) == 1), "left_semi")
+    return df.join(F.broadcast(sieve), F.col(column).isNotNull() & (F.getbit(F.col(bits)[word], bit) == 1), "left_semi" if inside else "left_anti")

@@ -97,3 +97,11 @@ def test_odd_rows(spark, odd, empty):
     want = {(i, n, c) for i, (n, c) in brute(rows.items()).items()} | {(None, 1, None)}
     assert got == sorted(want, key=str)
     assert N.near_duplicates(odd).count() == odd.count() and N.near_duplicates(empty).count() == 0
+
+
+def test_kept_texts_stay_out_of_workers_and_shuffle_files_go(spark, monkeypatch):
+    ship(spark)
+    docs = spark.createDataFrame(edited_copies(12, 3), "doc_id long, text string").repartition(3)
+    real, times = N.forget_shuffles, []
+    monkeypatch.setattr(N, "forget_shuffles", lambda s: times.append(1) or real(s))
+    assert "InArrow" not in N.keep_one(docs)._jdf.queryExecution().optimizedPlan().toString() and len(times) >= 6
