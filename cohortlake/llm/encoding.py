@@ -58,11 +58,6 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    @staticmethod
-    def forget() -> None:
-        """Give the memory of this worker's encoders back."""
-        _encoders.clear()
-
     @property
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size()

@@ -36,6 +36,8 @@ _ARROW = pa.schema([(x, pa.int64()) for x in _COLUMNS])
 
 #: classes of a fixed count of documents; full sequences that are held to fill bins; bins that wait for something to fill them
 CLASSES, STOCK, WAITING = 8, 16, 64
+#: pieces that an encoder of one task keeps, some 50 MB
+SMALL_CACHE = 200_000
 
 
 def reciprocal_class(length: int, capacity: int, classes: int = CLASSES) -> int:
@@ -149,14 +151,15 @@ class Bins:
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, keep_encoder: bool = True) -> DataFrame:
     """A row for each piece of each document of ``docs`` (doc_id, text); ``capacity`` is a power of two.
 
-    ``keep_encoder``: workers keep what they have encoded for their next task; without it a task ends with less memory.
+    ``keep_encoder``: workers keep what they have encoded for their next task; without it a task has a small cache
+    (``SMALL_CACHE`` pieces) of its own, for workers that share their memory with much else.
     """
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(tokenizer)
+        encoder = Encoder.of(tokenizer) if keep_encoder else Encoder(tokenizer, SMALL_CACHE)
         bins = Bins(capacity, TaskContext.get().partitionId() << 40)
 
         def out() -> pa.RecordBatch:
@@ -173,8 +176,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
         bins.finish()
         if bins.rows:
             yield out()
-        if not keep_encoder:
-            Encoder.forget()
+        del encoder
 
     return docs.select("doc_id", "text").mapInArrow(tidy(run), SCHEMA)
 

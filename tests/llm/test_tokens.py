@@ -182,3 +182,14 @@ def test_packing_keeps_documents_whole():
     packed_lengths(rng.integers(513, 1025, 500).tolist(), 1024)
     packed_lengths(rng.integers(1, 40, 3000).tolist(), 16)
     packed_lengths([], 1024)
+
+
+def test_packing_without_a_kept_encoder_has_a_small_cache(spark, sf_dir):
+    """Not a cache of the size that workers with memory of their own have; the pieces are the same."""
+    from cohortlake.llm import encoding, packing
+    from cohortlake.llm.common import table
+
+    assert packing.SMALL_CACHE * 5 < encoding.Encoder.__init__.__defaults__[0]
+    docs = table(spark, sf_dir, "documents").coalesce(1)
+    pieces = lambda keep: sorted(tuple(r) for r in packing.pack(docs, encoding.default_tokenizer(), keep_encoder=keep).collect())
+    assert pieces(False) == pieces(True)
