@@ -113,3 +113,45 @@ def test_odd_rows(spark, odd, empty):
     assert L.score_documents(empty).count() == 0
     only_held = odd.where("doc_id = 8")
     assert not held(8) or [r.base_score for r in L.score_documents(only_held).collect()] == [0.0]
+
+
+def test_every_word_has_its_own_context(spark):
+    """Also words whose hashes begin alike: what follows one of them says nothing of what follows the other."""
+    ship(spark)
+    names = [f"w{i}" for i in range(3000)]
+    hashes = next(L.W.of_column(L.pa.array(names), L.W.BY_SPACE)).hash >> np.uint64(49)
+    seen = {}
+    one, two = next((names[seen[h]], names[i]) for i, h in enumerate(hashes.tolist()) if seen.setdefault(h, i) != i)
+    rows = [(i, f"{one} left" if i % 2 else f"{two} right") for i in range(400) if not held(i)]
+    free = [i for i in range(400, 600) if held(i)]
+    rows += [(free[0], f"{one} left"), (free[1], f"{one} right"), (free[2], f"{two} left"), (free[3], f"{two} right")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    for parts in (1, 5):
+        got = {r.doc_id: r.score for r in L.score_documents(docs, parts=parts).collect()}
+        assert len(got) == len(rows)
+        assert got[free[0]] > got[free[1]] + 1 and got[free[3]] > got[free[2]] + 1
+
+
+def test_totals_of_contexts_meet(spark, sf_dir):
+    """What all word ranges together have of a context comes back to each that has it."""
+    ship(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    parts = 3
+    packed = [r.asDict() for r in L.grouped(docs.repartition(2), parts, L.hot_words(docs), 7, 2).collect()]
+    ranges = [L.Range([r for r in packed if r["part"] == p and r["ids"] is None]) for p in range(parts)]
+    totals = [own.totals(*own.run(None, parts, 0)) for own in ranges]
+    asked = [b for p in range(parts) for b in L._asked(p, ranges[p], totals[p], parts).to_batches()]
+    told = [r for b in L._told(iter(asked)) for r in b.to_pylist()]
+    want = collections.Counter()
+    for r in docs.collect():
+        if not held(r.doc_id):
+            want.update([L._START, *(tokens(r.text)[:-1])])
+    tables = sum(t.tables.sum() for t in totals)
+    known = {}
+    for p, own in enumerate(ranges):
+        met = L._met(totals[p], own, [r for r in told if r["part"] == p])
+        assert len(met.customers) == len(met.tables) == len(own.contexts)
+        for c, n, t in zip(own.contexts.tolist(), met.customers.tolist(), met.tables.tolist()):
+            assert known.setdefault(c, (n, t)) == (n, t)
+    assert sorted(n for n, _ in known.values() if n) == sorted(want.values())
+    assert abs(sum(t for _, t in known.values()) - tables) < 1e-6
